@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import transcripts
+from kithgraph.llm import survivors, transcripts
 from kithgraph.session import table
 
 
@@ -13,5 +13,40 @@ def p6_found(spark, sf_dir):
     return transcripts.speaker_turns(notes, sources, with_text=False).select("origin", "row_key", "turn_no", "speaker")
 
 
-QUERIES = {f.__name__: f for f in (p6_found,)}
-ORACLES: dict[str, str] = {}
+def p7_found(spark, sf_dir):
+    """The surviving value of each field of each set of merged entities."""
+    return survivors.survivors(table(spark, sf_dir, "entities"))
+
+
+_PLACEHOLDER_LIST = ", ".join("'" + p + "'" for p in survivors.PLACEHOLDERS)
+
+
+def _usable(v: str) -> str:
+    space = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
+    t = f"regexp_replace({v}, '^{space}|{space}$', '', 'g')"
+    return f"CASE WHEN {t} <> '' AND lower({t}) NOT IN ({_PLACEHOLDER_LIST}) THEN {t} END"
+
+
+P7_SQL = f"""
+WITH RECURSIVE up AS (
+  SELECT id, id AS root_id FROM entities WHERE merged_into IS NULL
+  UNION ALL
+  SELECT e.id, up.root_id FROM entities e JOIN up ON e.merged_into = up.id
+), m AS (
+  SELECT e.*, up.root_id FROM entities e JOIN up USING (id)
+  WHERE up.root_id IN (SELECT root_id FROM up GROUP BY 1 HAVING count(*) > 1)
+), c AS (
+  SELECT root_id, id, last_seen, updated_at, 'canonical_name' AS field_name, {_usable("canonical_name")} AS v,
+    length(regexp_replace({_usable("canonical_name")}, '[^\\p{{L}}]', '', 'g')) AS rank FROM m
+  {"".join(f"""
+  UNION ALL SELECT root_id, id, last_seen, updated_at, '{f}', coalesce({_usable(f"attributes->'manual_profile'->>'{f}'")}, {_usable(f"attributes->>'{f}'")}),
+    CASE WHEN {_usable(f"attributes->'manual_profile'->>'{f}'")} IS NOT NULL THEN 1 ELSE 0 END FROM m""" for f in survivors.FIELDS)}
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY root_id, field_name ORDER BY rank DESC, last_seen DESC NULLS LAST, updated_at DESC NULLS LAST, id DESC) AS n
+  FROM c WHERE v IS NOT NULL
+)
+SELECT root_id, field_name, v AS field_value FROM r WHERE n = 1
+"""
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found)}
+ORACLES: dict[str, str] = {"p7_found": P7_SQL}
