@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import survivors, transcripts
+from kithgraph.llm import quality, survivors, transcripts
 from kithgraph.session import table
 
 
@@ -48,5 +48,31 @@ WITH RECURSIVE up AS (
 SELECT root_id, field_name, v AS field_value FROM r WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found)}
-ORACLES: dict[str, str] = {"p7_found": P7_SQL}
+def p10_found(spark, sf_dir):
+    """doc_id of the documents of which more than half is not natural prose."""
+    return quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p10_statistics(spark, sf_dir):
+    """The text statistics of every document."""
+    return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+P10_STATISTICS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    len(regexp_extract_all(coalesce(text, ''), '\p{L}+')) AS w,
+    len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS l,
+    len(regexp_extract_all(coalesce(text, ''), '[^\s\x{0B}]')) AS v,
+    len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}\s\x{0B}]')) AS s,
+    len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\s\x{0B}]'))) AS n,
+    len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[.!?][ \t]*$'))) AS p,
+    len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+'), x -> list_contains((SELECT list(DISTINCT lower(word)) FROM common_words WHERE length(word) > 1), x))) AS c
+  FROM documents
+)
+SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_length, round(s::DOUBLE / nullif(v, 0), 6) AS symbol_ratio,
+  round(p::DOUBLE / nullif(n, 0), 6) AS punctuated_lines, round(c::DOUBLE / nullif(w, 0), 6) AS common_share FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p10_found, p10_statistics)}
+ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}
