@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import quality, survivors, transcripts
+from kithgraph.llm import names, quality, survivors, transcripts
 from kithgraph.session import table
 
 
+def p3_found(spark, sf_dir):
+    """(mention_id, candidate_id) of every mention that names a known entry of its workspace."""
+    candidates = table(spark, sf_dir, "entity_candidates").drop("embedding", "dossier")
+    return names.link(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "sources"), candidates)
+
+
 def p6_found(spark, sf_dir):
     """Speaker turns of both tables: (origin, row_key, turn_no, speaker)."""
     notes = table(spark, sf_dir, "granola_notes").select("row_id", "transcript", "attendees", "participants")
@@ -65,14 +71,14 @@ WITH d AS (
     len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS l,
     len(regexp_extract_all(coalesce(text, ''), '[^\s\x{0B}]')) AS v,
     len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}\s\x{0B}]')) AS s,
-    len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\s\x{0B}]'))) AS n,
-    len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[.!?][ \t]*$'))) AS p,
-    len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+'), x -> list_contains((SELECT list(DISTINCT lower(word)) FROM common_words WHERE length(word) > 1), x))) AS c
+    len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\s\x{0B}]'))) AS n,
+    len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[.!?][ \t]*$'))) AS p,
+    len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+'), lambda x: list_contains((SELECT list(DISTINCT lower(word)) FROM common_words WHERE length(word) > 1), x))) AS c
   FROM documents
 )
 SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_length, round(s::DOUBLE / nullif(v, 0), 6) AS symbol_ratio,
   round(p::DOUBLE / nullif(n, 0), 6) AS punctuated_lines, round(c::DOUBLE / nullif(w, 0), 6) AS common_share FROM d
 """
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_found, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}
