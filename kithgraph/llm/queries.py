@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import names, quality, survivors, transcripts
+from kithgraph.llm import arrivals, names, quality, survivors, transcripts
 from kithgraph.session import table
 
 
@@ -12,6 +12,11 @@ def p3_found(spark, sf_dir):
     return names.link(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "sources"), candidates)
 
 
+def p4_found(spark, sf_dir):
+    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace."""
+    return arrivals.repeats(table(spark, sf_dir, "sources").select("source_seq", "workspace_id", "external_id", "content_hash", "body", "attendee_hints"))
+
+
 def p6_found(spark, sf_dir):
     """Speaker turns of both tables: (origin, row_key, turn_no, speaker)."""
     notes = table(spark, sf_dir, "granola_notes").select("row_id", "transcript", "attendees", "participants")
@@ -65,20 +70,21 @@ def p10_statistics(spark, sf_dir):
 
 
 P10_STATISTICS_SQL = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t,
-    len(regexp_extract_all(coalesce(text, ''), '\p{L}+')) AS w,
-    len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS l,
-    len(regexp_extract_all(coalesce(text, ''), '[^\s\x{0B}]')) AS v,
-    len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}\s\x{0B}]')) AS s,
-    len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\s\x{0B}]'))) AS n,
-    len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[.!?][ \t]*$'))) AS p,
-    len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+'), lambda x: list_contains((SELECT list(DISTINCT lower(word)) FROM common_words WHERE length(word) > 1), x))) AS c
-  FROM documents
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+line AS (
+  SELECT doc_id, count(*) FILTER (regexp_matches(x, '[^\s\x{0B}]')) AS n, count(*) FILTER (regexp_matches(x, '[.!?][ \t]*$')) AS p
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) GROUP BY doc_id
+), word AS (
+  SELECT doc_id, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\p{L}+')) AS x FROM d)
+  WHERE x IN (SELECT lower(word) FROM common_words WHERE length(word) > 1) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, len(regexp_extract_all(t, '\p{L}+')) AS w, len(regexp_extract_all(t, '\p{L}')) AS l,
+    len(regexp_extract_all(t, '[^\s\x{0B}]')) AS v, len(regexp_extract_all(t, '[^\p{L}\p{N}\s\x{0B}]')) AS s FROM d
 )
 SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_length, round(s::DOUBLE / nullif(v, 0), 6) AS symbol_ratio,
-  round(p::DOUBLE / nullif(n, 0), 6) AS punctuated_lines, round(c::DOUBLE / nullif(w, 0), 6) AS common_share FROM d
+  round(p::DOUBLE / nullif(n, 0), 6) AS punctuated_lines, round(coalesce(c, 0)::DOUBLE / nullif(w, 0), 6) AS common_share
+FROM k LEFT JOIN line USING (doc_id) LEFT JOIN word USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p7_found, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}
