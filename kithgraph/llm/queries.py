@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import arrivals, names, quality, survivors, transcripts
+from kithgraph.llm import arrivals, names, neighbours, quality, survivors, transcripts
 from kithgraph.session import table
 
 
+def p2_found(spark, sf_dir):
+    """(id_a, id_b) with cosine 0.90 or more, one among the other's 5 most similar of both tables."""
+    vectors = table(spark, sf_dir, "graph_nodes").select("id", "embedding").unionByName(table(spark, sf_dir, "entity_candidates").select("id", "embedding"))
+    return neighbours.most_similar(vectors, 0.90).select("id_a", "id_b")
+
+
 def p3_found(spark, sf_dir):
     """(mention_id, candidate_id) of every mention that names a known entry of its workspace."""
     candidates = table(spark, sf_dir, "entity_candidates").drop("embedding", "dossier")
@@ -86,5 +92,5 @@ SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_len
 FROM k LEFT JOIN line USING (doc_id) LEFT JOIN word USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p7_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}
