@@ -29,8 +29,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster may use --py-files instead)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table; zone-less Parquet timestamps are taken as UTC instants."""
+    importable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     casts = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
     return df.withColumns(casts) if casts else df
