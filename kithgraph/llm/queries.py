@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import arrivals, names, neighbours, quality, survivors, transcripts
+from kithgraph.llm import arrivals, mixing, names, neighbours, packing, pii, quality, survivors, transcripts
 from kithgraph.session import table
 
 
@@ -23,6 +23,11 @@ def p4_found(spark, sf_dir):
     return arrivals.repeats(table(spark, sf_dir, "sources").select("source_seq", "workspace_id", "external_id", "content_hash", "body", "attendee_hints"))
 
 
+def p5_found(spark, sf_dir):
+    """(origin, row_key, pii_type, pii_text) of every distinct piece of personal data."""
+    return pii.pieces(table(spark, sf_dir, "sources").select("source_seq", "body"), table(spark, sf_dir, "claims").select("claim_no", "quote"))
+
+
 def p6_found(spark, sf_dir):
     """Speaker turns of both tables: (origin, row_key, turn_no, speaker)."""
     notes = table(spark, sf_dir, "granola_notes").select("row_id", "transcript", "attendees", "participants")
@@ -65,6 +70,28 @@ WITH RECURSIVE up AS (
 SELECT root_id, field_name, v AS field_value FROM r WHERE n = 1
 """
 
+def p8_packing(spark, sf_dir):
+    """(run_name, doc_id, piece_no, tokens, container) of every text in every run."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_report(spark, sf_dir):
+    """How full the containers of each run are."""
+    limits = table(spark, sf_dir, "pack_limits")
+    return packing.report(packing.pack(table(spark, sf_dir, "documents"), limits), limits)
+
+
+def p9_mixture(spark, sf_dir):
+    """(doc_id, source, likeliest, tokens, copies) of the texts used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).drop("member")
+
+
+def p9_shares(spark, sf_dir):
+    """Target and actual share of each source."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p10_found(spark, sf_dir):
     """doc_id of the documents of which more than half is not natural prose."""
     return quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
@@ -92,5 +119,5 @@ SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_len
 FROM k LEFT JOIN line USING (doc_id) LEFT JOIN word USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}
