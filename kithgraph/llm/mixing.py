@@ -160,21 +160,31 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = RANKS, total_
     names = F.array(*[F.lit(s) for s in sources])
     cell = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(CELLS)).cast("int")
     likeliest = F.element_at(names, F.array_position("member", F.array_max("member")).cast("int"))
-    group = F.coalesce("source", F.concat(F.lit("~ "), likeliest))  # texts without a source are rounded among themselves
-    rated = written(sized.select("doc_id", "source", likeliest.alias("likeliest"), group.alias("group"), "tokens", "member", rate("member").alias("rate"), cell.alias("cell")), "rates")
-    base, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    spread = rated.groupBy("group", "cell").agg(F.sum("tokens").alias("all"), F.sum(part * F.col("tokens")).alias("wanted")).collect()  # sources x cells
-    taken = []
-    for s in [*sources, *(f"~ {s}" for s in sources)]:
-        by = np.zeros((CELLS, 2))
-        for r in spread:
-            if r["group"] == s:
-                by[r["cell"]] = r["all"], r["wanted"]
-        taken += [(s, int(c)) for c in _cells(by[:, 0], by[:, 1].sum())]
-    chosen = rated.sparkSession.createDataFrame(taken, "group string, cell int").withColumn("more", F.lit(1))  # sources x cells
-    rated = rated.join(F.broadcast(chosen), ["group", "cell"], "left")
-    copies = base + F.when(part > 1e-9, F.coalesce("more", F.lit(0))).otherwise(0)
-    return rated.select("doc_id", "source", "likeliest", "tokens", copies.cast("int").alias("copies"), "member").where("copies > 0")
+    rated = written(sized.select("doc_id", "source", likeliest.alias("likeliest"), "tokens", "member", rate("member").alias("rate"), cell.alias("cell")), "rates")
+
+    def whole(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+        """`copies` of rows by likeliest source: their rates' whole part, one more in the cells that make up the rest."""
+        base, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+        by = np.zeros((n, CELLS, 2))
+        index = {s: i for i, s in enumerate(sources)}
+        for r in rows.groupBy("likeliest", "cell").agg(F.sum("tokens").alias("all"), F.sum(part * F.col("tokens")).alias("wanted")).collect():  # sources x cells
+            by[index[r["likeliest"]], r["cell"]] = r["all"], r["wanted"]
+        taken = [(s, int(c)) for i, s in enumerate(sources) for c in _cells(by[i, :, 0], by[i, :, 1].sum() if wanted is None else wanted[i])]
+        chosen = rows.sparkSession.createDataFrame(taken, "likeliest string, cell int").withColumn("more", F.lit(1))
+        more = F.when(part > 1e-9, F.coalesce("more", F.lit(0))).otherwise(0)
+        return rows.join(F.broadcast(chosen), ["likeliest", "cell"], "left").select("doc_id", "source", "likeliest", "tokens", (base + more).cast("int").alias("copies"), "member").where("copies > 0")
+
+    # texts without a source first; the others' rates then take one more projected step with those copies held fixed
+    soft = written(whole(rated.where(F.col("source").isNull()), None), "soft")
+    fixed, held = np.zeros(n), np.zeros(n)
+    for r in soft.select((F.col("tokens") * F.col("copies")).alias("t"), F.posexplode("member").alias("i", "p")).groupBy("i").agg(F.sum(F.col("t") * F.col("p")).alias("t")).collect():  # one row a source
+        fixed[r["i"]] = r["t"]
+    for r in rated.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("t")).collect():  # one row a source
+        held[sources.index(r["source"])] = r["t"]
+    last = np.clip((goal - fixed) / np.maximum(held, 1), 0, caps)
+    rates = F.create_map(*[F.lit(x) for s, r in zip(sources, last) for x in (s, float(r))])
+    hard = rated.where(F.col("source").isNotNull()).withColumn("rate", F.element_at(rates, F.col("source")))
+    return whole(hard, (last - np.floor(last)) * held).unionByName(soft)
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
