@@ -204,6 +204,6 @@ def review_verdicts(reviews: DataFrame, verdicts: DataFrame) -> tuple[DataFrame,
 
 def unique_tags(tags: Column) -> Column:
     """Trimmed tags, unique without regard to case, the first spelling kept."""
-    clean = F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    clean = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
     lower = F.transform(clean, F.lower)
     return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
