@@ -53,7 +53,7 @@ def relevance(c: Column) -> Column:
 
 def hop_limit(c: Column) -> Column:
     """1 to 4, rounded; 4 when missing."""
-    return F.coalesce(F.least(F.lit(4), F.greatest(F.lit(1), F.round(c).cast("int"))), F.lit(4))
+    return F.when(c.isNull(), 4).otherwise(F.least(F.lit(4), F.greatest(F.lit(1), F.round(c).cast("int"))))
 
 
 def neighbour_overlap(a: Column, b: Column) -> Column:
