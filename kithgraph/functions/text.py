@@ -147,20 +147,29 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(x or "", y or "") for x, y in zip(a, b)], dtype=float)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two person names with the surname rules; only the Jaro-Winkler parts leave the JVM."""
-    na, nb, pa, pb = normalize_name(a), normalize_name(b), name_parts(a), name_parts(b)
-    whole, last = jaro_winkler(na, nb), jaro_winkler(pa["last"], pb["last"])
-    initial = (F.length(pa["first"]) == 1) | (F.length(pb["first"]) == 1)
+def name_features(c: Column) -> Column:
+    """struct(norm, first, last): what a comparison of person names needs, to be computed once per name."""
+    p = name_parts(c)
+    return F.struct(normalize_name(c).alias("norm"), p["first"].alias("first"), p["last"].alias("last"))
+
+
+def feature_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two `name_features` with the surname rules; only the Jaro-Winkler parts leave the JVM."""
+    whole, last = jaro_winkler(a["norm"], b["norm"]), jaro_winkler(a["last"], b["last"])
+    initial = (F.length(a["first"]) == 1) | (F.length(b["first"]) == 1)
     first = (
-        F.when(pa["first"] == pb["first"], 1.0)
-        .when(initial, F.when(F.left(pa["first"], F.lit(1)) == F.left(pb["first"], F.lit(1)), 0.85).otherwise(0.0))
-        .otherwise(jaro_winkler(pa["first"], pb["first"]))
+        F.when(a["first"] == b["first"], 1.0)
+        .when(initial, F.when(F.left(a["first"], F.lit(1)) == F.left(b["first"], F.lit(1)), 0.85).otherwise(0.0))
+        .otherwise(jaro_winkler(a["first"], b["first"]))
     )
     return (
-        F.when((na == "") | (nb == ""), 0.0)
-        .when(na == nb, 1.0)
-        .when((pa["last"] == "") | (pb["last"] == ""), F.when((pa["first"] != "") & (pa["first"] == pb["first"]), 0.55).otherwise(whole * 0.5))
+        F.when((a["norm"] == "") | (b["norm"] == ""), 0.0)
+        .when(a["norm"] == b["norm"], 1.0)
+        .when((a["last"] == "") | (b["last"] == ""), F.when((a["first"] != "") & (a["first"] == b["first"]), 0.55).otherwise(whole * 0.5))
         .when(last < 0.85, F.least(whole, F.lit(0.6)))
         .otherwise(last * 0.55 + first * 0.45)
     )
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    return feature_similarity(name_features(a), name_features(b))

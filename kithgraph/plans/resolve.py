@@ -36,23 +36,26 @@ def candidates(mentions: DataFrame, entities: DataFrame, cap: int | None = dims.
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap).drop("rn")
 
 
-def score(person: Column, name: Column, known_name: Column, alone: Column, email: Column, known_email: Column, org: Column, known_org: Column, context: Column, overlap: Column, title: Column, known_title: Column) -> Column:
-    """struct(total, blocked, name, email, org) of a mention against an entity's name."""
-    similar = F.when(person, text.name_similarity(name, known_name)).otherwise(text.jaro_winkler(text.normalize_org(name), text.normalize_org(known_name)))
-    mp, kp = text.name_parts(name), text.name_parts(known_name)
-    both = (mp["last"] != "") & (kp["last"] != "")
+def features(name: Column, org: Column, title: Column) -> Column:
+    """What scoring needs of one side, computed once per mention or entity and not once per pair."""
+    return F.struct(text.name_features(name).alias("person"), text.normalize_org(name).alias("other"), text.normalize_org(org).alias("org"), text.token_set(org).alias("org_tokens"), text.token_set(title).alias("title_tokens"))
+
+
+def score(person: Column, m: Column, e: Column, alone: Column, email: Column, known_email: Column, context: Column, overlap: Column) -> Column:
+    """struct(total, blocked, name, email, org) of a mention's `features` against an entity's."""
+    similar = F.when(person, text.feature_similarity(m["person"], e["person"])).otherwise(text.jaro_winkler(m["other"], e["other"]))
+    both = (m["person"]["last"] != "") & (e["person"]["last"] != "")
     blocked = F.when(person, both & (similar < 0.6)).otherwise(similar < 0.72)
     present = lambda a, b: (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
     mail = F.when(present(email, known_email), F.when(F.lower(email) == F.lower(known_email), 1.0).otherwise(-1.0)).otherwise(0.0)
-    same_org = text.normalize_org(org) == text.normalize_org(known_org)
-    employer = F.when(present(org, known_org), F.when(same_org, 1.0).when(text.jaccard(text.token_set(org), text.token_set(known_org)) > 0.5, 0.6).otherwise(-0.3)).otherwise(0.0)
-    titles = F.when(present(title, known_title), text.jaccard(text.token_set(title), text.token_set(known_title))).otherwise(0.0)
+    employer = F.when(present(m["org"], e["org"]), F.when(m["org"] == e["org"], 1.0).when(text.jaccard(m["org_tokens"], e["org_tokens"]) > 0.5, 0.6).otherwise(-0.3)).otherwise(0.0)
+    titles = F.coalesce(text.jaccard(m["title_tokens"], e["title_tokens"]), F.lit(0.0))
     # The weights of the features, and the largest sum they can reach
     raw = (0.3 * similar + 0.45 * mail + 0.2 * employer + 0.2 * context + 0.15 * overlap + 0.05 * titles) / 1.35 + 0.35 * similar
     total = scoring.clamp01(raw) + F.when(alone, -0.35).otherwise(0.0)
     total = F.when(mail == 1, F.greatest(total, F.lit(0.95))).otherwise(total)
-    norm = lambda c: F.when(person, text.normalize_name(c)).otherwise(text.normalize_org(c))
-    exact = (norm(name) == norm(known_name)) & (norm(name) != "") & (mail >= 0) & (employer >= 0) & ~alone
+    same = F.when(person, m["person"]["norm"] == e["person"]["norm"]).otherwise(m["other"] == e["other"])
+    exact = same & (F.when(person, m["person"]["norm"]).otherwise(m["other"]) != "") & (mail >= 0) & (employer >= 0) & ~alone
     floor = F.when(exact & ~person, 0.93).when(exact & both, 0.88).otherwise(0.0)
     total = F.when(blocked, 0.0).otherwise(scoring.clamp01(F.greatest(total, floor)))
     return F.struct(total.alias("total"), blocked.alias("blocked"), similar.alias("name"), mail.alias("email"), employer.alias("org"))
@@ -64,10 +67,11 @@ def verdict(total: Column, blocked: Column) -> Column:
 
 def scored_pairs(mentions: DataFrame, entities: DataFrame, cap: int | None = dims.CANDIDATE_CAP) -> DataFrame:
     """(mention_id, entity_id, total, blocked, verdict) of all blocked pairs; names, mail, employer and title decide."""
-    m = mentions.select(F.col("id").alias("mention_id"), "entity_type", "surface_form", F.coalesce("is_first_name_only", F.lit(False)).alias("alone"), F.col("email").alias("m_email"), F.col("org").alias("m_org"), F.col("title").alias("m_title"))
-    e = entities.select(F.col("id").alias("entity_id"), "canonical_name", F.col("email").alias("e_email"), F.col("org").alias("e_org"), F.col("title").alias("e_title"))
+    f = lambda name: features(F.col(name), F.col("org"), F.col("title"))
+    m = mentions.select(F.col("id").alias("mention_id"), "entity_type", F.coalesce("is_first_name_only", F.lit(False)).alias("alone"), F.col("email").alias("m_email"), f("surface_form").alias("m"))
+    e = entities.select(F.col("id").alias("entity_id"), F.col("email").alias("e_email"), f("canonical_name").alias("e"))
     p = candidates(mentions, entities, cap).join(m, "mention_id").join(e, "entity_id")
-    s = score(F.col("entity_type") == "person", F.col("surface_form"), F.col("canonical_name"), F.col("alone"), F.col("m_email"), F.col("e_email"), F.col("m_org"), F.col("e_org"), F.lit(0.0), F.lit(0.0), F.col("m_title"), F.col("e_title"))
+    s = score(F.col("entity_type") == "person", F.col("m"), F.col("e"), F.col("alone"), F.col("m_email"), F.col("e_email"), F.lit(0.0), F.lit(0.0))
     return p.withColumn("s", s).select("mention_id", "entity_id", "shared", "s.*").withColumn("verdict", verdict(F.col("total"), F.col("blocked")))
 
 
