@@ -117,7 +117,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = RANKS, total_
     goals = targets.orderBy("source").collect()  # one row a source: fixed
     sources = [g["source"] for g in goals]
     share, caps = np.array([g["target_share"] for g in goals], dtype=float), np.array([g["max_repeats"] for g in goals], dtype=float)
-    usable = documents.where(F.length("text") > 0)
+    usable = documents.select("doc_id", "source", "text").where(F.length("text") > 0)
+    if not sources:
+        return usable.select("doc_id", "source", F.col("source").alias("likeliest"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("copies"), F.array().cast("array<double>").alias("member")).limit(0)
     weights = learn(usable.where(F.col("source").isNotNull()), sources)
     known = usable.where(F.col("source").isin(sources) | F.col("source").isNull())
     sized = written(known.select("doc_id", "source", count_tokens(F.col("text"), tokenizer).alias("tokens"), _weigh(weights, sources)("source", "text").alias("member")), "mix")
@@ -197,6 +199,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     order = names.withColumn("i", F.row_number().over(W.orderBy("source")) - 1)  # one row a source
     parts = mixture.select("source", used.alias("used"), "copies", F.posexplode("member").alias("i", "p")).where("p > 0")
     held = parts.groupBy("i").agg(F.sum(F.col("used") * F.col("p")).alias("tokens"), F.sum(F.when(F.col("source").isNotNull(), F.col("used")).otherwise(0)).alias("labelled"), F.count(F.when(F.col("source").isNotNull(), 1)).alias("texts"), F.max(F.when(F.col("source").isNotNull(), F.col("copies"))).alias("most_repeats"))
+    targets = targets.select("source", "target_share")
     both = targets.join(order, "source").join(held, "i", "left").select("source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "labelled", "texts", "most_repeats")])
     every = both.agg(F.sum("tokens").alias("every"), F.sum("labelled").alias("every_labelled"))
     return both.crossJoin(F.broadcast(every)).select("source", "target_share", "tokens", (F.col("tokens") / F.nullif("every", F.lit(0))).alias("actual_share"), (F.col("labelled") / F.nullif("every_labelled", F.lit(0))).alias("labelled_share"), "texts", "most_repeats")

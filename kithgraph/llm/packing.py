@@ -142,4 +142,4 @@ def report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """(run_name, capacity_tokens, containers, items, tokens, fill): how full the containers of each run are."""
     bins = packed.where("tokens > 0").groupBy("run_name", "container").agg(F.sum("tokens").alias("held"), F.count("*").alias("items"))
     runs = bins.groupBy("run_name").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
-    return runs.join(limits, "run_name").select("run_name", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+    return runs.join(limits.select("run_name", "capacity_tokens"), "run_name").select("run_name", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))

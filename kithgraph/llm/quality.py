@@ -83,11 +83,12 @@ def unit_votes(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, code, chars) of every distinct unit: its votes as a base-3 code, its characters with repeats."""
     text = F.regexp_replace("text", r"\r\n?|[\x0B\x0C\x{85}\x{2028}\x{2029}]", "\n")
     joined = F.regexp_replace(text, r"(?<=[\p{L},;])[ \t]*\n[ \t]*(?=\p{Ll})|(?<=[a-z,;])[ \t]*\n[ \t]*(?=\p{L}[\p{L} ]{1,30} [^:\n]{12})", " ")
-    units = documents.where(F.col("text").rlike(r"\S")).select("doc_id", F.explode(F.filter(F.split(joined, r"\n+"), lambda u: F.trim(u) != "")).alias("raw"))
+    units = documents.where(F.col("text").rlike(r"\S")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.filter(F.split(joined, r"\n+"), lambda u: F.trim(u) != "")).alias("raw"))
     u = F.regexp_replace(F.trim("raw"), r"^\p{L}[\p{L} .'’-]{1,40}: (?=.{25})", "")
     lower = F.lower("u")
-    f = units.select("doc_id", u.alias("u"), F.length("raw").alias("chars")).select(
+    f = units.select("doc_id", "row", u.alias("u"), F.length("raw").alias("chars")).select(
         "doc_id",
+        "row",
         "chars",
         "u",
         F.xxhash64("u").alias("h"),
@@ -119,7 +120,7 @@ def unit_votes(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     names = FUNCTIONS[1:]
     code = sum((votes[k] * (3**i) for i, k in enumerate(names, 1)), F.lit(0))
     silent = ABSTAIN * sum(3**i for i in range(1, len(FUNCTIONS)))  # what is said again and again tells nothing else
-    same = f.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.sum("chars").alias("chars"), F.max(code).alias("code"))
+    same = f.groupBy("doc_id", "row", "h").agg(F.count("*").alias("times"), F.sum("chars").alias("chars"), F.max(code).alias("code"))
     again = F.col("times") >= 3
     return same.select("doc_id", F.when(again, JUNK + silent).otherwise(F.col("code") + ABSTAIN).cast("int").alias("code"), "chars")
 
@@ -132,6 +133,7 @@ def learn(codes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[np
     for k in ("common", "repeat"):  # the first guess of the classes: what people say is tied together by common words
         v = votes[:, FUNCTIONS.index(k)]
         post = np.where(v == JUNK, 0.9, np.where(v == PROSE, 0.1, post))
+    again = votes[:, FUNCTIONS.index("repeat")] == JUNK  # no prose by definition, so not left to be learned
     one_hot = np.stack([votes == v for v in (PROSE, JUNK, ABSTAIN)], axis=2).astype(float)
     for _ in range(rounds):
         share = np.clip((weights * post).sum() / weights.sum(), 0.02, 0.98)
@@ -141,6 +143,7 @@ def learn(codes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[np
             tables.append(counts / counts.sum(1, keepdims=True))
         logs = [np.log(c) + np.einsum("nfv,fv->n", one_hot, np.log(t)) for c, t in zip((1 - share, share), tables)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+        new[again] = 0.99
         if np.abs(new - post).max() < 1e-7:
             break
         post = new
