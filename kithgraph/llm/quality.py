@@ -83,7 +83,8 @@ def unit_votes(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, code, chars) of every distinct unit: its votes as a base-3 code, its characters with repeats."""
     text = F.regexp_replace("text", r"\r\n?|[\x0B\x0C\x{85}\x{2028}\x{2029}]", "\n")
     joined = F.regexp_replace(text, r"(?<=[\p{L},;])[ \t]*\n[ \t]*(?=\p{Ll})|(?<=[a-z,;])[ \t]*\n[ \t]*(?=\p{L}[\p{L} ]{1,30} [^:\n]{12})", " ")
-    units = documents.where(F.col("text").rlike(r"\S")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.filter(F.split(joined, r"\n+"), lambda u: F.trim(u) != "")).alias("raw"))
+    rows = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    units = rows.select("doc_id", "row", F.explode(F.filter(F.split(joined, r"\n+"), lambda u: F.trim(u) != "")).alias("raw"))
     u = F.regexp_replace(F.trim("raw"), r"^\p{L}[\p{L} .'’-]{1,40}: (?=.{25})", "")
     lower = F.lower("u")
     f = units.select("doc_id", "row", u.alias("u"), F.length("raw").alias("chars")).select(
