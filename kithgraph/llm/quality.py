@@ -43,9 +43,9 @@ def _trie(words: list[str]) -> str:
     return emit(root)
 
 
-def common_pattern(common_words: DataFrame) -> str:
-    """The pattern of all common words of two letters or more, of any language."""
-    words = [r["word"] for r in common_words.where(F.length("word") > 1).select(F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1).collect()]
+def common_pattern(common_words: DataFrame, least: int = 2) -> str:
+    """The pattern of all common words of `least` letters or more, of any language."""
+    words = [r["word"] for r in common_words.where(F.length("word") >= least).select(F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1).collect()]
     if len(words) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} common words")
     return rf"(?<!\p{{L}})(?:{_trie(words)})(?!\p{{L}})" if words else r"(?!)"
@@ -101,7 +101,7 @@ def unit_votes(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         _count(F.col("u"), r"(?<!\p{L})\p{L}(?!\p{L})").alias("singles"),
         _count(lower, r"(?<!\p{L})[bcdfghjklmnpqrstvwxz]{3,}(?!\p{L})|\p{Ll}*[bcdfghjklmnpqrstvwxz]{6,}\p{Ll}*").alias("voiceless"),
         _count(F.col("u"), r"[.!?…](?=[\s\"'”’)]|$)").alias("ends"),
-        _count(lower, common_pattern(common_words)).alias("common"),
+        _count(lower, common_pattern(common_words, 1)).alias("common"),
         F.col("u").rlike(r"^(?:[•*–—|<{}\[\]]|- |\d+[.)] |#)|\t|\|.*\||</|\">|\"\s*:\s|,\S[^,]*,\S[^,]*,\S|\S{40}|(?:^|\s)[#@]\p{L}+\s.*[#@]\p{L}|^\p{Lu}[\p{L} ]{0,20}: ?\S{0,3}[^.!?]{0,40}$| > ").alias("laid_out"),
     )
     w = F.col("words")
