@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph import dims
@@ -157,8 +158,8 @@ def joined(claim_rows: DataFrame, links: DataFrame, sources: DataFrame, dead: Da
     Two left joins on the mention and one on the source; AQE splits the hot source. The dead are removed by two anti
     joins, one per endpoint, instead of a disjunction that would need a nested loop.
     """
-    once = claim_rows.groupBy("id").agg(F.min("claim_no").alias("claim_no"))
-    first = claim_rows.join(once, ["id", "claim_no"], "left_semi")
+    delivery = F.row_number().over(W.partitionBy("id").orderBy("claim_no"))  # limited to one row an id before the shuffle
+    first = claim_rows.withColumn("_delivery", delivery).where("_delivery = 1").drop("_delivery")
     s = sources.select(F.col("id").alias("source_id"), "workspace_id", F.col("title").alias("source_title"), "occurred_at", "ingested_at")
     l = lambda side: links.select(F.col("mention_id").alias(f"{side}_mention_id"), F.col("entity_id").alias(f"{side}_entity"))  # noqa: E731, E741
     out = first.join(s, "source_id").join(l("subject"), "subject_mention_id", "left").join(l("object"), "object_mention_id", "left")

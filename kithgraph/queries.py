@@ -646,6 +646,13 @@ def src06_flat_transcripts(spark, d):
     return table(spark, d, "granola_notes").select("row_id", F.md5(note_sources.flat_transcript(F.col("transcript"))).alias("flat"))
 
 
+_PEOPLE = """WITH a AS (SELECT row_id, unnest(from_json(coalesce(attendees, participants)::JSON, '["JSON"]')) AS x, generate_subscripts(from_json(coalesce(attendees, participants)::JSON, '["JSON"]'), 1) AS pos FROM granola_notes),
+t AS (SELECT row_id, pos, x, x->>'$' AS s, json_type(x) = 'OBJECT' AS o FROM a),
+m AS (SELECT *, CASE WHEN o THEN x->>'email' ELSE coalesce(nullif(regexp_extract(s, '<([^>]+)>', 1), ''), nullif(regexp_extract(s, '([\\w.+-]+@[\\w.-]+\\.\\w+)', 1), '')) END AS email,
+  string_split_regex(regexp_replace(regexp_replace(s, '<[^>]+>', '', 'g'), '[\\w.+-]+@[\\w.-]+\\.\\w+', '', 'g'), '\\s+[—–-]\\s+') AS parts FROM t),
+q AS (SELECT row_id, pos, CASE WHEN o THEN coalesce(x->>'name', x->>'email') ELSE coalesce(nullif(regexp_replace(trim(parts[1]), '[,;]$', ''), ''), email) END AS name, email, CASE WHEN o THEN x->>'company' ELSE nullif(trim(parts[2]), '') END AS company FROM m)"""
+
+
 @query("src07_attendees", """WITH a AS (SELECT row_id, unnest(from_json(coalesce(attendees, participants)::JSON, '["JSON"]')) AS x, generate_subscripts(from_json(coalesce(attendees, participants)::JSON, '["JSON"]'), 1) AS pos FROM granola_notes),
 t AS (SELECT row_id, pos, x, x->>'$' AS s, json_type(x) = 'OBJECT' AS o FROM a),
 m AS (SELECT *, CASE WHEN o THEN x->>'email' ELSE coalesce(nullif(regexp_extract(s, '<([^>]+)>', 1), ''), nullif(regexp_extract(s, '([\\w.+-]+@[\\w.-]+\\.\\w+)', 1), '')) END AS email,
@@ -657,10 +664,19 @@ def src07_attendees(spark, d):
     return n.select("row_id", F.inline("a"))
 
 
-@query("src02_03_08_09_json_notes")
+@query("src02_03_08_json_notes", f"""{_PEOPLE}, l AS (SELECT row_id, count(*) AS attendees, string_agg('- ' || name || coalesce(' <' || email || '>', '') || coalesce(' — ' || company, ''), chr(10) ORDER BY pos) AS people FROM q WHERE coalesce(name, '') <> '' GROUP BY row_id),
+n AS (SELECT g.row_id, trim(coalesce(g.title, 'Untitled meeting')) AS title, g.id AS external_id, coalesce(attendees, 0) AS attendees, people, trim(coalesce(ai_summary, summary, '')) AS s, trim(coalesce(notes_markdown, notes, '')) AS d, {_FLAT} AS t FROM granola_notes g LEFT JOIN l USING (row_id)),
+b AS (SELECT *, concat_ws(chr(10) || chr(10), '[ATTENDEES]' || chr(10) || people, CASE WHEN s <> '' THEN '[SUMMARY]' || chr(10) || s END, CASE WHEN d <> '' THEN '[NOTES]' || chr(10) || d END, CASE WHEN t <> '' THEN '[TRANSCRIPT]' || chr(10) || t END) AS body FROM n)
+SELECT row_id, title, external_id, attendees::INT AS attendees, sha256(title || chr(10) || body) AS content_hash, ceil(length(body) / 3.8::DOUBLE)::INT AS token_estimate FROM b""".replace("coalesce(attendees, 0) AS attendees", "coalesce(l.attendees, 0) AS attendees"))
 def src03_json_notes(spark, d):
     n = note_sources.read_json_notes(table(spark, d, "granola_notes"))
-    return n.select("row_id", "title", "external_id", F.unix_micros("occurred_at").alias("occurred_us"), F.size("attendee_hints").alias("attendees"), "content_hash", "token_estimate")
+    return n.select("row_id", "title", "external_id", F.size("attendee_hints").alias("attendees"), "content_hash", "token_estimate")
+
+
+@query("src09_10_first_date", r"SELECT * FROM (SELECT row_id, epoch_us(try_cast(regexp_extract(created_at, '^\s*(\d{4}-\d{2}-\d{2})\s*$', 1) AS TIMESTAMP)) AS us FROM granola_notes WHERE regexp_matches(created_at, '^\s*\d{4}-\d{2}-\d{2}\s*$')) WHERE us IS NOT NULL")
+def src09_10_first_date(spark, d):
+    n = table(spark, d, "granola_notes").where(F.col("created_at").rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"))
+    return n.select("row_id", F.unix_micros(note_sources.first_date(note_sources.date_line(F.col("created_at")))).alias("us")).where("us IS NOT NULL")
 
 
 @query("src11_hash", "SELECT source_seq, sha256(concat_ws(chr(10), title, body)) AS h FROM sources")
@@ -748,10 +764,14 @@ def led01_04_mentions(spark, d):
     return ledger.mentions(runs).select("run_id", "local_ref", "entity_type", "surface_form")
 
 
-@query("led05_11_set02_claims")
+@query("led05_11_set02_claims", """WITH p AS (SELECT run_id, attributes AS a, coalesce(role_in_source IN ('attendee', 'speaker'), false) AS here FROM mentions WHERE entity_type = 'person'), o AS (SELECT attributes AS a FROM mentions WHERE entity_type IN ('organization', 'fund')),
+r AS (SELECT run_id, count(*) FILTER (here) AS k, count(*) FILTER (NOT here) AS m FROM p GROUP BY run_id),
+n AS (SELECT 'attribute' AS claim_type, 'title' AS predicate, count(*) AS n FROM p WHERE a->>'title' <> '' UNION ALL SELECT 'attribute', 'email', count(*) FROM p WHERE a->>'email' <> ''
+  UNION ALL SELECT 'attribute', 'location', (SELECT count(*) FROM p WHERE a->>'location' <> '') + (SELECT count(*) FROM o WHERE a->>'location' <> '') UNION ALL SELECT 'relationship', 'met_with', sum(k * (k - 1) // 2)::BIGINT FROM r UNION ALL SELECT 'relationship', 'mentioned', sum(k * m)::BIGINT FROM r)
+SELECT * FROM n WHERE n > 0""")
 def led05_11_claims(spark, d):
     runs = ledger.sanitize(ledger.read_extractions(extractions(spark, d)))
-    return ledger.claims(runs).groupBy("claim_type", "predicate").agg(F.count("*").alias("n"), F.countDistinct("subject_mention_id").alias("subjects"))
+    return ledger.claims(runs).groupBy("claim_type", "predicate").agg(F.count("*").alias("n"))
 
 
 # --- resolution ---------------------------------------------------------------------------------------------------
@@ -766,7 +786,19 @@ def _resolvable(spark, d):
     return m, e
 
 
-@query("join01_res_candidates")
+def _key_sql(table: str, name: str, ident: str, extra: str, email: str, org: str) -> str:
+    n = _NAME.format(c=name)
+    return f"""(WITH a AS (SELECT {ident} AS id, {extra}, {n} AS n, {email} AS e, {org} AS o FROM {table}), p AS (SELECT *, string_split(n, ' ') AS t FROM a WHERE n <> '')
+  SELECT id, ws, kind, 'n:' || n AS key FROM p UNION SELECT id, ws, kind, 'l:' || t[-1] FROM p WHERE len(t) > 1 UNION SELECT id, ws, kind, 'fl:' || left(t[1], 1) || ':' || t[-1] FROM p WHERE len(t) > 1 UNION SELECT id, ws, kind, 'f:' || t[1] FROM p WHERE len(t) = 1
+  UNION SELECT id, ws, kind, 'e:' || lower(trim(e)) FROM p WHERE e <> '' UNION SELECT id, ws, kind, 'd:' || lower(string_split(e, '@')[2]) FROM p WHERE contains(e, '@') UNION SELECT id, ws, kind, 'o:' || {_ORG.format(c='o')} FROM p WHERE o <> '')"""
+
+
+_MENTION_KEYS = _key_sql("mentions m JOIN sources s ON s.id = m.source_id", "m.surface_form", "m.id", "s.workspace_id AS ws, m.entity_type AS kind", "m.attributes->>'email'", "m.attributes->>'org'")
+_CANDIDATE_KEYS = _key_sql("entity_candidates", "canonical_name", "id", "workspace_id AS ws, entity_type AS kind", "email", "org")
+
+
+@query("join01_res_candidates", f"""WITH k AS {_MENTION_KEYS}, c AS {_CANDIDATE_KEYS}, j AS (SELECT k.id AS mention_id, c.id AS entity_id, count(*) AS shared FROM k JOIN c USING (ws, kind, key) GROUP BY ALL)
+SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY shared DESC, entity_id) <= 40""")
 def join01_candidates(spark, d):
     return resolve.candidates(*_resolvable(spark, d))
 
