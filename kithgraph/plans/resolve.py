@@ -211,3 +211,23 @@ def unique_tags(tags: Column) -> Column:
     clean = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
     lower = F.transform(clean, F.lower)
     return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+
+def review_queue(pairs: DataFrame) -> DataFrame:
+    """(mention_id, candidate_id, score): the best candidate of mentions whose best score lies in the review band."""
+    return best_candidate(pairs).where(F.col("verdict") == "review").select("mention_id", F.col("entity_id").alias("candidate_id"), F.col("total").alias("score"))
+
+
+def upsert_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """Manual creation and update: `changes` (id and any of the entity columns) win where not null; unknown ids are added."""
+    cols = [c for c in entities.columns if c != "id"]
+    given = [c for c in cols if c in changes.columns]
+    renamed = changes.select("id", *[F.col(c).alias(f"_{c}") for c in given])
+    j = entities.join(renamed, "id", "full")
+    return j.select("id", *[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in cols])
+
+
+def valid_self(workspaces: DataFrame, entities: DataFrame) -> DataFrame:
+    """Workspaces with their own node only if it is a live person of theirs, else null."""
+    live = entities.where((F.col("entity_type") == "person") & ~F.col("status").isin("merged", "deleted")).select(F.col("id").alias("self_entity_id"), F.col("workspace_id").alias("id"), F.lit(True).alias("_ok"))
+    return workspaces.join(live, ["id", "self_entity_id"], "left").withColumn("self_entity_id", F.when(F.col("_ok"), F.col("self_entity_id"))).drop("_ok")

@@ -1011,3 +1011,132 @@ def sea04_search(spark, d):
     found = search.retrieve(n, q)
     paths = graph.shortest_paths(e, _selves(e)).where("hops > 0")
     return search.routes(found, paths).select("question_id", "id", _r("value").alias("value"), "rn", "hops")
+
+
+# --- views of edges and routes, manual curation, board details ----------------------------------------------------
+
+
+@query("prj04_edge_view", f"""WITH {_EDGES} SELECT src, dst, relationship_type, ended, round(probability, 6) AS probability, CASE WHEN probability >= 0.75 THEN 'very strong' WHEN probability >= 0.55 THEN 'strong' WHEN probability >= 0.35 THEN 'moderate' WHEN probability >= 0.18 THEN 'weak' ELSE 'faint' END AS label,
+  replace(relationship_type, '_', ' ') AS words, evidence_count FROM edges""")
+def prj04_edge_view(spark, d):
+    p = F.col("probability")
+    return edges(spark, d).select("src", "dst", "relationship_type", "ended", _r(p).alias("probability"), scoring.strength_label(p).alias("label"), text.spaced(F.col("relationship_type")).alias("words"), "evidence_count")
+
+
+@query("prj06_serialised")
+def prj06_serialised(spark, d):
+    e = written(edges(spark, d), "edges")
+    p = graph.shortest_paths(e, _selves(e)).where("hops > 0")
+    return p.select("workspace_id", "node", F.to_json(F.struct("start", "node", "hops", _r("cost").alias("cost"), _r(F.exp(-F.col("cost"))).alias("probability"), "path")).alias("route"))
+
+
+@query("prj07_sea05_context")
+def prj07_context(spark, d):
+    g = table(spark, d, "graph_nodes")
+    found = search.retrieve(g, _questions(spark, d))
+    near = found.withColumn("path", F.array("question_id", "id")).withColumn("rn", F.col("rank"))
+    return search.prompt_context(found, near)
+
+
+@query("prj08_route_cards")
+def prj08_route_cards(spark, d):
+    """Each hop of each route with the best quoted evidence of its edge."""
+    led = written(joined(spark, d), "ledger")
+    e = written(project.edges(led, _as_of()), "edges")
+    p = graph.shortest_paths(e, _selves(e)).where("hops > 0")
+    hops = p.select("workspace_id", "node", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("hop", "h")).select("workspace_id", "node", "hop", "h.a", "h.b")
+    c = project.edge_claims(led).where("quote IS NOT NULL").select("workspace_id", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.col("confidence").alias("w"), "claim_no", "quote")
+    best = c.groupBy("workspace_id", "x", "y").agg(F.max_by("quote", F.struct("w", -F.col("claim_no"))).alias("quote"))
+    return hops.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(best, ["workspace_id", "x", "y"], "left").select("workspace_id", "node", "hop", "a", "b", "quote")
+
+
+@query("top02_best_paths")
+def top02_best_paths(spark, d):
+    e = written(edges(spark, d), "edges")
+    p = graph.shortest_paths(e, _selves(e)).where("hops > 0")
+    return p.withColumn("rank", F.row_number().over(W.partitionBy("workspace_id", "start").orderBy("cost", "node"))).where("rank <= 8").select("workspace_id", "node", _r("cost").alias("cost"), "rank")
+
+
+@query("top09_gra15_selection", f"""WITH {_EDGES}, sel AS (SELECT min(src) AS n FROM edges), x AS (SELECT CASE WHEN src = n THEN dst ELSE src END AS other, relationship_type, round(strength, 6) AS strength FROM edges, sel WHERE src = n OR dst = n)
+SELECT other, relationship_type, strength FROM x ORDER BY strength DESC, other, relationship_type LIMIT 4""")
+def top09_gra15_selection(spark, d):
+    e = written(edges(spark, d).select("src", "dst", "relationship_type", _r("strength").alias("strength")), "edges")
+    n = e.agg(F.min("src").alias("n"))
+    x = e.crossJoin(F.broadcast(n)).where("src = n OR dst = n")  # one selected node
+    return x.select(F.when(F.col("src") == F.col("n"), F.col("dst")).otherwise(F.col("src")).alias("other"), "relationship_type", "strength").orderBy(F.desc("strength"), "other", "relationship_type").limit(4)
+
+
+@query("top12_completed", "SELECT row_id, row_number() OVER (PARTITION BY workspace_id ORDER BY exported_at DESC NULLS LAST, row_id) AS rank FROM granola_notes WHERE row_id % 3 = 0")
+def top12_completed(spark, d):
+    return table(spark, d, "granola_notes").where("row_id % 3 = 0").select("row_id", F.row_number().over(W.partitionBy("workspace_id").orderBy(F.desc_nulls_last("exported_at"), "row_id")).alias("rank"))
+
+
+@query("win09_brd01_resolved_at", "SELECT row_id, 't' || row_id % 5 AS at FROM granola_notes")
+def win09_brd01_resolved_at(spark, d):
+    c = lambda v: F.lit(v)
+    none = F.lit(None).cast(boards.HISTORY)
+    first = boards.recorded(none, c("h1"), c("t9"), c("resolved"), c("x"))
+    h = boards.recorded(boards.recorded(first, c("h2"), F.concat(c("t"), (F.col("row_id") % 5).cast("string")), c("resolved"), c("y")), c("h3"), c("t0"), c("moved"), c("z"))
+    return table(spark, d, "granola_notes").select("row_id", boards.resolved_at(h).alias("at"))
+
+
+@query("brd03_lines", "SELECT row_id, len(list_filter(list_transform(string_split(notes, chr(10)), lambda l: trim(regexp_replace(l, '^\\\\s*(?:[-*•]|\\\\d+[.)])\\\\s*', ''))), lambda l: l <> ''))::INT AS n FROM granola_notes WHERE notes IS NOT NULL".replace("\\\\", "\\"))
+def brd03_lines(spark, d):
+    return table(spark, d, "granola_notes").where("notes IS NOT NULL").select("row_id", F.size(boards.plan_lines(F.col("notes"))).alias("n"))
+
+
+@query("brd05_moved", "SELECT id, row_number() OVER (PARTITION BY list ORDER BY k, id) - 1 AS pos FROM (SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 0 ELSE p_partkey % 4 END AS list, CASE WHEN p_partkey = 7 THEN 7.5 ELSE p_partkey END AS k FROM part)")
+def brd05_moved(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_partkey") % 4).cast("string").alias("list"), F.col("p_partkey").alias("pos"))
+    m = boards.move_item(items.withColumn("id", F.lpad("id", 9, "0")), "000000007", "0", "000000008")
+    return m.select(F.col("id").cast("long").alias("id"), "pos")
+
+
+@query("brd07_join16_lanes", "SELECT row_id, coalesce(sum(25) OVER (PARTITION BY workspace_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS top FROM granola_notes")
+def brd07_lanes(spark, d):
+    n = table(spark, d, "granola_notes").select(F.col("workspace_id").alias("unit"), F.col("row_id").alias("position"), F.lit(20).alias("height"))
+    return boards.lanes(n, 5).select(F.col("position").alias("row_id"), F.col("top").cast("double").alias("top"))
+
+
+@query("res07_link_upsert", "SELECT id AS mention_id, max(claim_no) AS written_at FROM claims GROUP BY id")
+def res07_link_upsert(spark, d):
+    c = table(spark, d, "claims").select(F.col("id").alias("mention_id"), F.col("claim_no").alias("written_at"), F.col("source_id").alias("entity_id"), F.lit("exact").alias("method"), F.col("confidence").alias("score"))
+    return resolve.latest_links(c).select("mention_id", "written_at")
+
+
+@query("res09_review_queue")
+def res09_review_queue(spark, d):
+    return resolve.review_queue(resolve.scored_pairs(*_resolvable(spark, d))).select("mention_id", "candidate_id", _r("score").alias("score"))
+
+
+@query("res11_manual_upsert", "SELECT id, CASE WHEN mention_count > 5 THEN upper(canonical_name) ELSE canonical_name END AS canonical_name FROM entities UNION ALL SELECT 'new', 'New Person'")
+def res11_manual_upsert(spark, d):
+    e = table(spark, d, "entities").select("id", "canonical_name", "mention_count")
+    changes = e.where("mention_count > 5").select("id", F.upper("canonical_name").alias("canonical_name")).unionByName(spark.createDataFrame([("new", "New Person")], "id string, canonical_name string"))
+    return resolve.upsert_entities(e, changes).select("id", "canonical_name")
+
+
+@query("res12_soft_delete", "SELECT id, CASE WHEN mention_count = 0 THEN 'deleted' ELSE status END AS status FROM entities")
+def res12_soft_delete(spark, d):
+    e = table(spark, d, "entities").select("id", "status", "mention_count")
+    return resolve.delete_entities(e, e.where("mention_count = 0")).select("id", "status")
+
+
+@query("res15_self", "SELECT w.id, (SELECT max(e.id) FROM entities e WHERE e.id = w.self_entity_id AND e.workspace_id = w.id AND e.entity_type = 'person' AND e.status NOT IN ('merged', 'deleted')) AS self_entity_id FROM workspaces w")
+def res15_self(spark, d):
+    return resolve.valid_self(table(spark, d, "workspaces").select("id", "self_entity_id"), table(spark, d, "entities").select("id", "workspace_id", "entity_type", "status")).select("id", "self_entity_id")
+
+
+@query("src30_boards", "SELECT id AS workspace_id, CASE WHEN length(slug) % 2 = 0 THEN 4 ELSE 3 END AS revision FROM workspaces")
+def src30_boards(spark, d):
+    w = table(spark, d, "workspaces").select(F.col("id").alias("workspace_id"), F.lit(3).alias("revision"), F.lit("old").alias("document"), "slug")
+    changes = w.select("workspace_id", F.when(F.length("slug") % 2 == 0, 3).otherwise(2).alias("revision"), F.lit("new").alias("document"))
+    return store.replace_board(w.drop("slug"), changes)[0].select("workspace_id", "revision")
+
+
+@query("src_stream_windows", "SELECT epoch_us(date_trunc('day', exported_at)) AS start_us, count(*) AS notes FROM granola_notes WHERE exported_at IS NOT NULL GROUP BY ALL")
+def src_stream_windows(spark, d):
+    """The windowed counts of the stream, over the table as a batch: the same plan without its watermark."""
+    from kithgraph.streaming.ingest import arrivals_per_window
+
+    return arrivals_per_window(table(spark, d, "granola_notes")).select(F.unix_micros("start").alias("start_us"), "notes")
