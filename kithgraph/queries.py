@@ -1140,3 +1140,93 @@ def src_stream_windows(spark, d):
     from kithgraph.streaming.ingest import arrivals_per_window
 
     return arrivals_per_window(table(spark, d, "granola_notes")).select(F.unix_micros("start").alias("start_us"), "notes")
+
+
+# --- operators that also appear inside others ---------------------------------------------------------------------
+
+
+@query("src20_by_external_ids", "SELECT min(source_seq) AS source_seq FROM sources WHERE external_id IN (SELECT external_id FROM sources WHERE batch_id > 0 AND external_id IS NOT NULL) GROUP BY workspace_id, external_id")
+def src20_by_external_ids(spark, d):
+    s = table(spark, d, "sources").select("source_seq", "workspace_id", "external_id", "batch_id")
+    return store.sources_by_external_ids(s, s.where("batch_id > 0 AND external_id IS NOT NULL")).select("source_seq")
+
+
+@query("src27_seed_workspaces", "SELECT id, slug FROM workspaces UNION ALL SELECT 'new', 'new-slug'")
+def src27_seed_workspaces(spark, d):
+    from kithgraph.schemas import seed_workspace
+
+    w = table(spark, d, "workspaces").select("id", "slug")
+    again = w.orderBy("slug").limit(1).withColumn("id", F.lit("other"))  # a slug that is there
+    new = spark.createDataFrame([("new", "new-slug")], "id string, slug string")
+    return seed_workspace(seed_workspace(w, again), new)
+
+
+@query("fil08_path_filters", f"WITH {_EDGES} SELECT workspace_id, src, dst, relationship_type FROM edges WHERE strength >= 0.2 AND relationship_type NOT IN ('mentioned', 'met_with') AND NOT starts_with(dst, 't')")
+def fil08_path_filters(spark, d):
+    return edges(spark, d).where((F.col("strength") >= 0.2) & ~F.col("relationship_type").isin("mentioned", "met_with") & ~F.col("dst").startswith("t")).select("workspace_id", "src", "dst", "relationship_type")
+
+
+@query("win07_forward_fill", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS since FROM events")
+def win07_forward_fill(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("since"))
+
+
+@query("top11_candidate_cap", f"""WITH k AS {_MENTION_KEYS}, c AS {_CANDIDATE_KEYS}, j AS (SELECT k.id AS mention_id, c.id AS entity_id, count(*) AS shared FROM k JOIN c USING (ws, kind, key) GROUP BY ALL)
+SELECT mention_id, entity_id FROM j QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY shared DESC, entity_id) <= 3""")
+def top11_candidate_cap(spark, d):
+    return resolve.candidates(*_resolvable(spark, d), cap=3).select("mention_id", "entity_id")
+
+
+@query("set05_restore", "SELECT p_partkey AS id, list_sort(list_distinct(list_concat([p_partkey % 3], list_filter([p_partkey % 5, p_partkey % 7], lambda x: x IN (1, 2, 6)))))[1] AS low, len(list_distinct(list_concat([p_partkey % 3], list_filter([p_partkey % 5, p_partkey % 7], lambda x: x IN (1, 2, 6)))))::INT AS n FROM part")
+def set05_restore(spark, d):
+    k = F.col("p_partkey")
+    r = boards.restore_dependencies(F.array(k % 3), F.array(k % 5, k % 7), F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 6)]))
+    return table(spark, d, "part").select(k.alias("id"), F.array_min(r).alias("low"), F.size(r).alias("n"))
+
+
+@query("jsn03_set_key", "SELECT id, 'x' AS title, attributes->>'location' AS location FROM entities")
+def jsn03_set_key(spark, d):
+    m = jsonx.set_key(jsonx.as_map(F.col("attributes")), "title", F.lit("x"))
+    return table(spark, d, "entities").select("id", F.element_at(m, "title").alias("title"), F.element_at(m, "location").alias("location"))
+
+
+@query("jsn04_strip_empty", "SELECT id, len(list_filter(json_keys(attributes), lambda k: json_extract_string(attributes, '$.' || k) IS NOT NULL AND json_extract_string(attributes, '$.' || k) <> '[]'))::INT AS n FROM entities")
+def jsn04_strip_empty(spark, d):
+    return table(spark, d, "entities").select("id", F.size(jsonx.strip_empty(jsonx.as_map(F.col("attributes")))).alias("n"))
+
+
+@query("res10_verdicts", "SELECT id AS loser, (SELECT min(e.id) FROM entities e WHERE e.workspace_id = r.workspace_id AND e.entity_type = r.entity_type AND e.status = 'active') AS winner FROM entities r WHERE status = 'needs_review' AND mention_count % 2 = 0 AND id <> (SELECT min(e.id) FROM entities e WHERE e.workspace_id = r.workspace_id AND e.entity_type = r.entity_type AND e.status = 'active')")
+def res10_verdicts(spark, d):
+    e = table(spark, d, "entities").select("id", "workspace_id", "entity_type", "status", "mention_count")
+    best = e.where("status = 'active'").groupBy("workspace_id", "entity_type").agg(F.min("id").alias("candidate_id"))
+    reviews = e.where("status = 'needs_review'").join(best, ["workspace_id", "entity_type"]).select(F.col("id").alias("review_id"), F.col("id").alias("entity_id"), "candidate_id", "mention_count", F.lit(None).cast("string").alias("verdict"))
+    verdicts = reviews.select("review_id", F.when(F.col("mention_count") % 2 == 0, "same").otherwise("different").alias("verdict"))
+    return resolve.review_verdicts(reviews, verdicts)[1]
+
+
+@query("gra01_loaded_graph", f"WITH {_EDGES}, {_ADJ}, n AS (SELECT workspace_id, count(DISTINCT a) AS nodes, count(*) AS steps FROM adj GROUP BY workspace_id) SELECT * FROM n")
+def gra01_loaded_graph(spark, d):
+    a = graph.adjacency(edges(spark, d))
+    return a.groupBy("workspace_id").agg(F.countDistinct("a").alias("nodes"), F.count("*").alias("steps"))
+
+
+@query("sea01_02_plans", """WITH t AS (SELECT row_id, title, regexp_matches(lower(title), '\\b(access|reach|intro|introduc|connect|get to|warm|path)\\b') AS p, regexp_matches(lower(title), '\\bhow do i know\\b|\\bconnection to\\b|\\brelationship with\\b') AS x FROM granola_notes WHERE title IS NOT NULL)
+SELECT row_id, CASE WHEN x THEN 'explain_link' WHEN p THEN 'find_path' ELSE 'find_people' END AS intent, CASE WHEN p THEN 3 ELSE 4 END AS max_hops, CASE WHEN p THEN 0.25 ELSE 0 END::DOUBLE AS min_strength FROM t""")
+def sea01_02_plans(spark, d):
+    n = table(spark, d, "granola_notes").where("title IS NOT NULL").select("row_id", F.col("title").alias("question"))
+    return search.heuristic_plan(n).select("row_id", "intent", "max_hops", "min_strength")
+
+
+@query("brd09_trail", "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'old > a > call > b' ELSE 'old > a > b > call' END AS trail FROM granola_notes")
+def brd09_trail(spark, d):
+    step = lambda i, t, done: F.struct(F.lit(i).alias("id"), F.lit(t).alias("text"), done.alias("done"))
+    steps = F.array(step("1", "a", F.lit(True)), step("2", "b", F.col("row_id") % 2 == 1))
+    return table(spark, d, "granola_notes").select("row_id", F.array_join(boards.trail(F.array(F.lit("old")), steps, F.lit("call")), " > ").alias("trail"))
+
+
+@query("brd10_resolvable", "SELECT p_partkey AS id FROM part WHERE NOT (p_partkey > 1 AND (p_partkey // 2) % 3 <> 0)")
+def brd10_resolvable(spark, d):
+    """Tasks that may be resolved: no blocker is open."""
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 == 0).alias("resolved"), F.when(F.col("p_partkey") > 1, F.array(F.expr("p_partkey div 2"))).otherwise(F.array().cast("array<bigint>")).alias("depends_on"))
+    return items.select("id").join(boards.blockers(items).select("id"), "id", "left_anti")

@@ -274,3 +274,13 @@ def test_stream(spark, data, tmp_path):
         ingest.ingest(ingest.note_stream(spark, str(tmp_path / "land"), n.schema), table(spark, data, "workspaces"), out, cp).awaitTermination()
     got = spark.read.parquet(out)
     assert 0 < got.count() <= 40 and got.count() == got.dropDuplicates(["workspace_id", "content_hash"]).count()
+
+
+def test_schemas(spark, tmp_path):
+    from kithgraph import schemas
+
+    schemas.create(spark, str(tmp_path))
+    schemas.create(spark, str(tmp_path))
+    assert all(spark.read.parquet(str(tmp_path / t)).count() == 0 for t in schemas.TABLES)
+    w = spark.createDataFrame([("1", "a")], "id string, slug string")
+    assert schemas.seed_workspace(w, spark.createDataFrame([("2", "a")], "id string, slug string")).count() == 1
