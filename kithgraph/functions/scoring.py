@@ -25,6 +25,7 @@ def recency(last_seen: Column, as_of: Column) -> Column:
 
 def strength_terms(explicitness: Column, signal: Column, confidence: Column, evidence: Column, sources: Column, last_seen: Column, as_of: Column) -> Column:
     """struct(strength, base, volume, diversity, recency)."""
+    # Saturation of evidence (3) and sources (2), and the weights of the terms
     base = explicitness * signal * (0.5 + 0.5 * confidence)
     volume, diversity, fresh = 1 - F.exp(-evidence / 3.0), 1 - F.exp(-sources / 2.0), recency(last_seen, as_of)
     strength = clamp01(base * (0.55 + 0.25 * volume + 0.2 * diversity) * (0.35 + 0.65 * fresh))
@@ -32,6 +33,7 @@ def strength_terms(explicitness: Column, signal: Column, confidence: Column, evi
 
 
 def traversal_probability(relationship: Column, strength: Column, warmth: Column, ended: Column) -> Column:
+    # What strength, warmth and an ended tie leave of the prior, and the bounds
     p = dims.prior(relationship) * (0.15 + 0.85 * clamp01(strength)) * (0.6 + 0.4 * clamp01(warmth)) * F.when(ended, 0.6).otherwise(1.0)
     return F.least(F.lit(0.97), F.greatest(F.lit(0.02), p))
 

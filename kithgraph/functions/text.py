@@ -103,12 +103,17 @@ def keywords(c: Column, most: int = 8) -> Column:
     return F.slice(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*dims.QUERY_STOP_WORDS)), 1, most)
 
 
+# Words that ask for a route, and for an explanation.
+ROUTE_WORDS = r"\b(access|reach|intro|introduc|connect|get to|warm|path)\b"
+EXPLAIN_WORDS = r"\bhow do i know\b|\bconnection to\b|\brelationship with\b"
+
+
 def wants_path(c: Column) -> Column:
-    return F.lower(c).rlike(r"\b(access|reach|intro|introduc|connect|get to|warm|path)\b")
+    return F.lower(c).rlike(ROUTE_WORDS)
 
 
 def wants_explanation(c: Column) -> Column:
-    return F.lower(c).rlike(r"\bhow do i know\b|\bconnection to\b|\brelationship with\b")
+    return F.lower(c).rlike(EXPLAIN_WORDS)
 
 
 def spaced(c: Column) -> Column:

@@ -31,6 +31,7 @@ def hybrid_score(nodes: DataFrame, semantic: Column, keywords: Column, org: Colu
     One projection: 0.6 x cosine, at most 0.35 for keyword hits, 0.45 / 0.40 / 0.15 for the organisation in the name,
     employer or dossier, 0.2 for a sector, at most 0.08 for corroborating sources.
     """
+    # Fixed values below: the weights, the bounds and the wording of the reasons
     hay = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("dossier", F.lit(""))))
     hits = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: (k != "") & F.contains(hay, F.lower(k)))
     n = F.size(hits)

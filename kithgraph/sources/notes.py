@@ -18,6 +18,8 @@ def is_json(c: Column) -> Column:
     return F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
 
 
+# The patterns of addresses and of date lines.
+_MONTH_DAY = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}"
 _MAIL = r"[\w.+-]+@[\w.-]+\.\w+"
 
 
@@ -75,7 +77,7 @@ def first_date(*candidates: Column) -> Column:
     tries = []
     for c in candidates:
         iso = F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?)\s*$", 1)
-        named = F.regexp_replace(F.initcap(F.regexp_extract(c, r"(?i)^\s*((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\s*$", 1)), r"^([A-Z][a-z]{2})[a-z]*\s+(\d{1,2}),?\s+(\d{4})$", "$1 $2 $3")
+        named = F.regexp_replace(F.initcap(F.regexp_extract(c, rf"(?i)^\s*({_MONTH_DAY})\s*$", 1)), r"^([A-Z][a-z]{2})[a-z]*\s+(\d{1,2}),?\s+(\d{4})$", "$1 $2 $3")
         tries += [F.try_to_timestamp(F.when(iso != "", iso)), F.try_to_timestamp(F.when(named != "", named), F.lit("MMM d yyyy"))]
     return F.coalesce(*tries)
 
@@ -83,7 +85,7 @@ def first_date(*candidates: Column) -> Column:
 def date_line(text: Column) -> Column:
     """The first date in the first 12 lines."""
     head = F.array_join(F.slice(F.split(text, "\n"), 1, 12), "\n")
-    found = F.regexp_extract(head, r"(?i)(\d{4}-\d{2}-\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})", 1)
+    found = F.regexp_extract(head, rf"(?i)(\d{{4}}-\d{{2}}-\d{{2}}|{_MONTH_DAY})", 1)
     return F.when(found != "", found)
 
 

@@ -16,12 +16,17 @@ WRAPPERS = "structuredContent content data result results meetings meeting notes
 COLLECTIONS = "meetings notes documents items results data".split()
 TRANSCRIPT_KEYS = "transcript text content markdown body full_transcript raw_transcript value".split()
 DEEPEST = 12
+# Patterns of fences, tags and empty listings.
+FENCE = re.compile(r"```json\s*(.*?)```", re.I | re.S)
+TAG = re.compile(r"""<meeting\b(?:"[^"]*"|'[^']*'|[^'">])*>""", re.I)
+ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+NOTHING = re.compile(r"\s*<meetings\b[^>]*(?:/\s*>|>\s*</meetings>)\s*|\s*(?:no meetings(?: found| available)?(?:[.!]| for[^\n]*)?|0 meetings)\s*", re.I)
 
 
 def lenient_json(text: str):
     """The JSON a text is, holds in a fence, or holds between its outermost braces; None if there is none."""
     bare = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip(), flags=re.I))
-    fence = re.search(r"```json\s*(.*?)```", text, re.I | re.S)
+    fence = FENCE.search(text)
     brace = bare[bare.find("{") : bare.rfind("}") + 1] if 0 <= bare.find("{") < bare.rfind("}") else None
     for attempt in (bare, fence[1] if fence else None, None if fence else brace):
         if attempt is not None:
@@ -75,13 +80,13 @@ def meetings_of(value) -> tuple[list[dict], bool]:
             if parsed is not None:
                 todo.insert(0, (parsed, depth + 1, True))
                 continue
-            for m in re.finditer(r"""<meeting\b(?:"[^"]*"|'[^']*'|[^'">])*>""", v, re.I):
-                own = {k.lower(): decode_entities(a or b) for k, a, b in re.findall(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[0])}
+            for m in TAG.finditer(v):
+                own = {k.lower(): decode_entities(a or b) for k, a, b in ATTRIBUTE.findall(m[0])}
                 stop = v.find("</meeting>", m.end())
                 inside = v[m.end() : stop] if stop >= 0 and not m[0].endswith("/>") else ""
                 child = lambda tag: decode_entities(c[1].strip()) if (c := re.search(rf"<{tag}\b[^>]*>(.*?)</{tag}>", inside, re.I | re.S)) else None  # noqa: B023, E731
                 note(own.get("id") or own.get("meeting_id") or child("id"), own.get("title") or child("title"), own.get("date") or child("date"))
-            known[0] |= bool(re.fullmatch(r"\s*<meetings\b[^>]*(?:/\s*>|>\s*</meetings>)\s*|\s*(?:no meetings(?: found| available)?(?:[.!]| for[^\n]*)?|0 meetings)\s*", v, re.I))
+            known[0] |= bool(NOTHING.fullmatch(v))
     return list(found.values()), known[0]
 
 
