@@ -147,12 +147,13 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = RANKS, total_
     once, curve = totals(None)
     reach = np.where(share > 0, once * caps / np.maximum(share, 1e-12), np.inf).min() if n else 0.0
     goal = share * min(reach * 0.9999, total_tokens or np.inf)
-    path = np.empty((0, n))
+    path, before = np.empty((0, n)), None
     for _ in range(STEPS):
         got, _ = totals(path) if len(path) else (np.zeros(n), None)
         residual = got - goal
-        if np.abs(residual).max() <= 1e-5 * goal.sum():
-            break
+        if np.abs(residual).max() <= 1e-5 * goal.sum() or (before is not None and np.abs(residual - before).max() <= 1e-6 * goal.sum()):
+            break  # met, or what is missing lies beyond the repeats allowed
+        before = residual
         path = np.vstack([path, residual / np.maximum(curve, 1.0)])
 
     @F.pandas_udf(T.DoubleType())
