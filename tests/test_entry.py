@@ -44,3 +44,11 @@ def test_edges_agree_with_sql(spark, data):
         order = [c[0] for c in rel.description]
         want = sorted(tuple(str(r[order.index(c)]) for c in sorted(order)) for r in rel.fetchall())
         assert got == want, name
+
+
+def test_written_tables_can_be_cleared(spark):
+    from kithgraph.session import clear_written, written
+
+    clear_written(spark)
+    assert written(spark.range(3), "t").count() == 3
+    assert clear_written(spark) == 1 and clear_written(spark) == 0
