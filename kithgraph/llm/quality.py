@@ -104,7 +104,7 @@ def unit_votes(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         _chars(F.col("u"), r"\p{N}").alias("digits"),
         _chars(F.col("u"), r"[^\p{L}\p{M}\p{N}\s.,;:'’\"“”!?()\-—–…]").alias("symbols"),
         _count(F.col("u"), r"(?<!\p{L})\p{L}(?!\p{L})").alias("singles"),
-        _count(lower, r"(?<!\p{L})[bcdfghjklmnpqrstvwxz]{3,}(?!\p{L})|\p{Ll}*[bcdfghjklmnpqrstvwxz]{6,}\p{Ll}*").alias("voiceless"),
+        _count(lower, r"(?<!\p{L})[bcdfghjklmnpqrstvwxz]{3,}(?!\p{L})|[bcdfghjklmnpqrstvwxz]{6,}").alias("voiceless"),
         _count(F.col("u"), r"[.!?…](?=[\s\"'”’)]|$)").alias("ends"),
         _count(lower, common_pattern(common_words, 1)).alias("common"),
         F.col("u").rlike(r"^(?:[•*–—|<{}\[\]]|- |\d+[.)] |#)|\t|\|.*\||</|\">|\"\s*:\s|,\S[^,]*,\S[^,]*,\S|\S{40}|(?:^|\s)[#@]\p{L}+\s.*[#@]\p{L}|^\p{Lu}[\p{L} ]{0,20}: ?\S{0,3}[^.!?]{0,40}$| > ").alias("laid_out"),
