@@ -5,6 +5,8 @@ Every iteration cuts its lineage by a table in the shared folder, so a lost exec
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,12 +142,15 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return label
 
 
-def downstream(links: DataFrame, open_nodes: DataFrame, rounds: int = 60) -> DataFrame:
-    """(source, node): everything that waits for a node through open nodes. `links` (task, needs)."""
+def downstream(links: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """(source, node): everything that waits for a node through open nodes. `links` (task, needs).
+
+    Ends when a round reaches nothing new, after as many rounds as the longest shortest chain.
+    """
     step = links.join(open_nodes.select(F.col("node").alias("task")), "task", "left_semi").select(F.col("needs").alias("source"), F.col("task").alias("node")).distinct()
     step = written(step, "waits")
     found, frontier = step, step
-    for _ in range(rounds):
+    while True:
         out = frontier.join(step.select(F.col("source").alias("node"), F.col("node").alias("next")), "node").select("source", F.col("next").alias("node")).distinct()
         frontier = written(out.join(found, ["source", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
@@ -154,17 +159,22 @@ def downstream(links: DataFrame, open_nodes: DataFrame, rounds: int = 60) -> Dat
     return found.where("source <> node")
 
 
-def levels(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, level): longest chain of needs below each node; level null for nodes in or behind a cycle (peeling)."""
+def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, level): longest chain of needs below each node; level null for nodes in or behind a cycle (peeling).
+
+    Ends when nothing is left to peel, after as many rounds as the longest chain has nodes.
+    """
     needs = written(links.select("task", "needs").distinct().join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi"), "needs")
     left = written(nodes.select("node").distinct(), "left")
     done = None
-    for level in range(rounds):
+    for level in count():
         blocked = needs.join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select(F.col("task").alias("node")).distinct()
         peel = written(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), "peel")
         if peel.isEmpty():
             break
         done = peel if done is None else done.unionByName(peel)
+        if level % 64 == 63:  # keeps the plan of a long chain short
+            done = written(done, "done")
         left = written(left.join(peel, "node", "left_anti"), "left")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)

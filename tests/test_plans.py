@@ -162,6 +162,19 @@ def test_dependencies(spark):
     assert {r["id"]: r["depends_on"] for r in boards.clean_dependencies(items).collect()} == {"a": [], "b": ["a"], "c": ["b"]}
 
 
+def test_dependency_chains_of_any_depth(spark, monkeypatch):
+    def light(df, label):  # the rounds are many and tiny
+        table = df.toArrow()
+        return spark.createDataFrame(table) if table.num_rows else spark.createDataFrame([], df.schema)
+
+    monkeypatch.setattr(graph, "written", light)
+    names = [f"{i:03d}" for i in range(103)]
+    nodes = light(spark.createDataFrame([(x,) for x in names], "node string"), "")
+    links = light(spark.createDataFrame(list(zip(names[1:], names)), "task string, needs string"), "")
+    assert {r["node"]: r["level"] for r in graph.levels(nodes, links).collect()} == {x: i for i, x in enumerate(names)}
+    assert graph.downstream(links.where("task < '064'"), nodes).count() == 63 * 64 // 2
+
+
 def test_resolution(spark):
     e = spark.createDataFrame([("e1", "w", "person", "Ada Quill", "ada@b.test", "Bright", "Partner"), ("e2", "w", "organization", "Bright Inc", None, None, None), ("e3", "v", "person", "Ada Quill", None, None, None)], "id string, workspace_id string, entity_type string, canonical_name string, email string, org string, title string")
     cols = "id string, run_id string, mention_seq int, workspace_id string, entity_type string, surface_form string, is_first_name_only boolean, email string, org string, title string"
