@@ -53,3 +53,22 @@ def test_unusable_copies_and_empty(spark):
     assert {x for r in got for x in (r["id_a"], r["id_b"])} == {c for c, _ in copies} and len(got) <= 5 * 1500
     assert most_similar(spark.createDataFrame([], SCHEMA), 0.9).count() == 0
     assert most_similar(spark.createDataFrame(bad, SCHEMA), 0.9).count() == 0
+
+
+def test_large_groups_of_copies_hide_nobody(spark):
+    r = np.random.default_rng(4)
+    c = r.standard_normal(DIM) / 8
+    close = [c + r.standard_normal(DIM) * 1e-4 for _ in range(40)]  # more than any fixed number of partners, equal in 8 bits
+    v = np.array([*close[:20], *[c] * 5000, *close[20:], *r.standard_normal((300, DIM))], dtype=np.float32)
+    df = spark.createDataFrame([(f"{i:06d}", x.tolist()) for i, x in enumerate(v)], SCHEMA)
+    got = {(x["id_a"], x["id_b"]) for x in most_similar(df, 0.9).collect()}
+    first = [f"{i:06d}" for i in range(20, 26)]  # the smallest ids among the copies
+    want = {(a, f"{i:06d}") for i in range(20, 5020) for a in [x for x in first if x != f"{i:06d}"][:5] if a < f"{i:06d}"}
+    assert want <= got
+    solo = [*range(20), *range(5020, 5040)]
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for i in solo:
+        s = u @ u[i]
+        s[i] = -2
+        for j in sorted(range(len(v)), key=lambda j: (-round(s[j], 14), j))[:5]:
+            assert (f"{min(i, j):06d}", f"{max(i, j):06d}") in got, (i, j)
