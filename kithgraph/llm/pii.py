@@ -1,21 +1,22 @@
 """Personal information inside free text, found by a character-level BiLSTM-CRF and replaced by its type.
 
-Each text is cut into stretches around everything that may begin a piece (digits, @, spelt-out addresses and
-numbers, capitalised word pairs, speaker labels), with context on both sides. Long stretches are covered by
-overlapping windows, whose emissions are joined with weights falling towards the window's edges; one Viterbi pass
-over the whole stretch then reconciles all windows at once. Equal stretches are decoded once per batch. No shuffle
-but the final distinct, which is local to a text.
+The tagger reads whole texts, character by character: every line of every text, with the line break before it. Lines
+longer than a window are covered by overlapping windows, whose emissions are joined with weights falling towards the
+window's edges; one Viterbi pass over the whole line then reconciles all windows at once. The transitions know where
+words are: no piece begins or ends inside one. Lines for which the emissions prove that no tag can win are not decoded.
+Equal lines are read once per batch. No pattern chooses what is read or decides what is found; of what is decoded,
+punctuation at the edges is left out. No shuffle.
 
 The weights are trained by `pii_train.py` from labelled spans and kept in `pii_weights.npz`.
 
-Defined results: null, empty and blank texts have no pieces; texts of any length are processed whole; a piece that
-occurs several times in a text is one row; repeated rows give the same pieces under their own key.
+Defined results: null, empty and blank texts have no pieces; texts of any length are processed whole; no piece runs
+over a line break; a piece that occurs several times in a text is one row; repeated rows give the same pieces under
+their own key.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,59 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithgraph.llm.tagger import Tagger, encode
+from kithgraph.llm.tagger import Tagger, encode, inside_words
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: Tag 0 is outside; of type i, 2i + 1 begins and 2i + 2 continues a piece.
 TAGS = 1 + 2 * len(TYPES)
-LEFT, RIGHT = 28, 26
-WINDOW, STRIDE = 112, 72
+WINDOW, STRIDE, BATCH = 240, 180, 768
+#: Characters read at once.
+AT_ONCE = 400_000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
-_UPPER = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isupper())
-_NUM = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
-_TRIGGER = re.compile(
-    r"(?P<skip>\[?\b\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?\]?|-->|\[inaudible[^\]]*\]|^[ \t]*\[[A-Z]+\][ \t]*$)"
-    rf"|\d[\d ().+-]*|@|[\[(]at[\])] ?[\w-]+(?: ?[\[(]dot[\])] ?\w+)*|\bat [\w-]+(?: dot \w+)+|\b{_NUM}(?:[, -]+{_NUM}\b){{3,}}|\b[{_UPPER}][\w'’.-]*,? (?:[{_UPPER}]|(?:d|v)[a-z] [{_UPPER}])[\w'’.-]*",
-    re.M,
-)
-_LABEL = re.compile(r"^[ \t]*(?:\[[\d:.]+\][ \t]*|>>[ \t]*|<v |\*\*)?([^\n:<>*\[\]()\d]{2,24}[ ,.][^\n:<>*\[\]()\d]{1,32}?)[ \t]*(?::|\*\*|>|[ \t]\d+:\d\d[ \t]*$)", re.M)
-
-
-def stretches(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a speaker label) of the parts of a text that may hold a piece, in order, not overlapping."""
-    labels = [m.span(1) for m in _LABEL.finditer(text)]
-    out: list[list] = []
-    k = 0
-    for m in _TRIGGER.finditer(text):
-        if m["skip"] is not None:
-            continue
-        s, e = m.span()
-        while k < len(labels) and labels[k][1] <= s:
-            k += 1
-        if k < len(labels) and labels[k][0] <= s and e <= labels[k][1] + 1:
-            continue
-        floor = text.rfind("\n", max(0, s - LEFT), s) + 1 or max(0, s - LEFT)
-        if k < len(labels) and floor < labels[k][1] <= s:
-            floor = labels[k][1]
-        elif k and floor < labels[k - 1][1] <= s:
-            floor = labels[k - 1][1]
-        stop = text.find("\n", e, e + RIGHT)
-        stop = stop if stop >= 0 else min(len(text), e + RIGHT)
-        while floor > 0 and text[floor - 1].isalnum() and s - floor < LEFT + 12:
-            floor -= 1
-        while stop < len(text) and text[stop].isalnum() and stop - e < RIGHT + 12:
-            stop += 1
-        if out and floor <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([floor, stop])
-    return [(s, e, False) for s, e in out] + [(s, e, True) for s, e in labels]
-
-
-def shown(text: str, start: int, end: int, label: bool) -> tuple[str, int]:
-    """What the tagger reads of a stretch, and by how much its places are shifted."""
-    return (f"\n{text[start:end]}:", 1) if label else (text[start:end], 0)
+
+def lines(text: str) -> list[tuple[int, str]]:
+    """(place, line with the break before it) of every line that holds a letter or digit."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if not line.isspace() and line:
+            out.append((at - 1, "\n" + line))
+        at += len(line) + 1
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -94,18 +61,25 @@ def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
             if s + WINDOW >= len(t):
                 break
             s += STRIDE
-    out: list[np.ndarray] = [np.empty(0)] * len(texts)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     order = sorted(range(len(pieces)), key=lambda i: pieces[i][2] - pieces[i][1])
     long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for at in range(0, len(order), 1024):
-        part = [pieces[i] for i in order[at : at + 1024]]
+
+    def decode(numbers: list[int], e: np.ndarray, lengths: np.ndarray) -> None:
+        live = np.flatnonzero(~model.silent(e, lengths))
+        if len(live):
+            width = int(lengths[live].max())
+            found = model.viterbi(e[:width, live], lengths[live], inside_words([texts[numbers[j]] for j in live], width))
+            for j, row in zip(live, found):
+                out[numbers[j]] = row[: lengths[j]]
+
+    for at in range(0, len(order), BATCH):
+        part = [pieces[i] for i in order[at : at + BATCH]]
         x, lengths = encode([texts[n][s:e] for n, s, e in part])
         e = model.emissions(x, lengths)
         whole = [j for j, (n, _, _) in enumerate(part) if len(texts[n]) <= WINDOW]
         if whole:
-            tags = model.viterbi(e[:, whole], lengths[whole])
-            for j, row in zip(whole, tags):
-                out[part[j][0]] = row[: lengths[j]]
+            decode([part[j][0] for j in whole], e[:, whole] if len(whole) < len(part) else e, lengths[whole])
         for j, (n, s, stop) in enumerate(part):
             if len(texts[n]) > WINDOW:
                 total, weight = long.setdefault(n, (np.zeros((len(texts[n]), TAGS), np.float32), np.zeros((len(texts[n]), 1), np.float32)))
@@ -117,16 +91,17 @@ def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
                     w[size // 2 :] = w.max()
                 total[s:stop] += e[:size, j] * w
                 weight[s:stop] += w
-    if long:
-        order = sorted(long, key=lambda n: len(texts[n]))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            lengths = np.array([len(texts[n]) for n in part])
-            e = np.zeros((lengths.max(), len(part), TAGS), np.float32)
-            for j, n in enumerate(part):
-                e[: lengths[j], j] = long[n][0] / long[n][1]
-            for n, row, size in zip(part, model.viterbi(e, lengths), lengths):
-                out[n] = row[:size]
+    order = sorted(long, key=lambda n: len(texts[n]))
+    at = 0
+    while at < len(order):  # few at once if they are very long
+        part = order[at : at + max(1, min(64, 2_000_000 // len(texts[order[at]])))]
+        at += len(part)
+        lengths = np.array([len(texts[n]) for n in part])
+        e = np.zeros((lengths.max(), len(part), TAGS), np.float32)
+        for j, n in enumerate(part):
+            total, weight = long.pop(n)
+            e[: lengths[j], j] = total / weight
+        decode(part, e, lengths)
     return out
 
 
@@ -148,35 +123,14 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 _EDGE = " \t\r\n,;:.!?-–—/*<>|"
-_SOUND = (
-    re.compile(r"[^\s@]+(?: ?@ ?| ?[\[(]at[\])] ?| at )[\w-]+", re.I),
-    re.compile(rf"(?:\D*\d){{7}}|{_NUM}(?:[, -]+{_NUM}){{6}}", re.I),
-    re.compile(r"(?:[^0-9]*\d){5}"),
-    re.compile(r"(?=.*\d)(?=.*[^\W\d_]{2})"),
-    re.compile(r"(?=.*[^\W\d_]{2})^[^\d@]{3,60}$"),
-)
-
-
-#: What may continue an address or a spelt number beyond the decoded end.
-_MORE = {0: re.compile(r"(?:(?: dot | ?[\[(]dot[\])] ?|\.)\w+)+"), 1: re.compile(rf"(?:[, -]+{_NUM}\b)+")}
 
 
-def _checked(text: str, s: int, e: int, kind: int) -> tuple[int, int] | None:
-    """A decoded piece without punctuation at its edges and with the rest of its last part, or None if it can't be of
-    its type."""
+def trimmed(text: str, s: int, e: int, kind: int) -> tuple[int, int]:
+    """A decoded piece without punctuation at its edges; the point of an initial at the end of a name stays."""
     while s < e and text[s] in _EDGE:
         s += 1
-    while s < e and text[e - 1] in _EDGE and not (text[e - 1] == "." and kind == 4 and e - s > 2 and text[e - 3] in " ,"):
+    while s < e and text[e - 1] in _EDGE and not (text[e - 1] == "." and kind == 4 and e - s > 2 and text[e - 3] in " ,."):
         e -= 1
-    while 0 < s < e and text[s].isalnum() and text[s - 1].isalnum():  # a piece begins and ends with whole words
-        s -= 1
-    if kind in _MORE and (more := _MORE[kind].match(text, e)):
-        e = more.end()
-    while e < len(text) and kind != 1 and text[e - 1 : e].isalnum() and text[e].isalnum():
-        e += 1
-    piece = text[s:e]
-    if not _SOUND[kind].match(piece) if kind != 4 else (not _SOUND[4].match(piece) or not re.search(r"[ ,.]", piece)):
-        return None
     return s, e
 
 
@@ -192,10 +146,8 @@ def find(texts: list[str | None], model: Tagger | None = None) -> list[list[tupl
     model = model or _model()
     places, wanted = [], {}
     for t in texts:
-        own = []
-        for s, e, label in stretches(t) if t else ():
-            read, shift = shown(t, s, e, label)
-            own.append((s - shift, read))
+        own = lines(t) if t else []
+        for _, read in own:
             if read not in _seen and read not in wanted:
                 wanted[read] = len(wanted)
         places.append(own)
@@ -205,12 +157,9 @@ def find(texts: list[str | None], model: Tagger | None = None) -> list[list[tupl
             del _seen[k]
     reads = list(wanted)
     for read, tags in zip(reads, _tags(reads, model) if reads else ()):
-        found = []
-        for s, e, kind in spans_of(tags):
-            if ok := _checked(read, s, e, kind):
-                found.append((*ok, kind))
-        _seen[read] = found
-    return [sorted({(start + s, start + e, kind) for start, read in own for s, e, kind in _seen[read]}) for own in places]
+        found = [(*trimmed(read, s, e, kind), kind) for s, e, kind in spans_of(tags)]
+        _seen[read] = [x for x in found if x[0] < x[1]]
+    return [[(start + s, start + e, kind) for start, read in own for s, e, kind in _seen[read]] for own in places]
 
 
 def masked(text: str, pieces: list[tuple[int, int, int]]) -> str:
@@ -229,10 +178,11 @@ _PIECES = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T
 @F.pandas_udf(_PIECES)
 def _pieces(texts: pd.Series) -> pd.Series:
     rows = [t if isinstance(t, str) else "" for t in texts]
+    ends = np.cumsum([len(t) for t in rows]) // AT_ONCE
     out = []
-    for at in range(0, len(rows), 500):
-        part = rows[at : at + 500]
-        out += [list(dict.fromkeys((TYPES[k], t[s:e]) for s, e, k in found)) for t, found in zip(part, find(part))]
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(ends)) + 1):
+        some = [rows[i] for i in part]
+        out += [list(dict.fromkeys((TYPES[k], t[s:e]) for s, e, k in found)) for t, found in zip(some, find(some))]
     return pd.Series(out, dtype=object)
 
 

@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import unicodedata
 
 import numpy as np
 
 _CHARS = "\n abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,:;!?'\"()[]{}<>@#&/+-_*|%$=~—–•"
 OTHER, PAD = len(_CHARS), len(_CHARS) + 1
-VOCABULARY = len(_CHARS) + 2
+#: Letters and digits of scripts that have no Latin base letter: capitals, small letters, letters without case, digits.
+CAPITAL, SMALL, UNCASED, DIGIT = range(len(_CHARS) + 2, len(_CHARS) + 6)
+VOCABULARY = len(_CHARS) + 6
 _CODE = {c: i for i, c in enumerate(_CHARS)}
-_KNOWN: dict[str, int] = {}
+_KNOWN = np.full(0x110000, -1, dtype=np.int16)
 
 
 def code(c: str) -> int:
     """The symbol of a character: accented letters count as their base letter, white space as a space."""
-    got = _KNOWN.get(c)
-    if got is None:
-        base = _CODE.get(c)
-        if base is None:
-            base = _CODE.get(unicodedata.normalize("NFD", {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ı": "i", "ß": "s", "’": "'", "−": "-"}.get(c, c))[:1], _CODE[" "] if c.isspace() else OTHER)
-        if len(_KNOWN) < 100_000:
-            _KNOWN[c] = base
-        got = base
-    return got
+    base = _CODE.get(c)
+    if base is None:
+        base = _CODE.get(unicodedata.normalize("NFD", {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ı": "i", "ß": "s", "’": "'", "−": "-"}.get(c, c))[:1])
+    if base is None:
+        base = _CODE[" "] if c.isspace() else DIGIT if c.isdigit() else (CAPITAL if c.isupper() else SMALL if c.islower() else UNCASED) if c.isalpha() else OTHER
+    return base
+
+
+def symbols(text: str) -> np.ndarray:
+    """The symbols of all characters of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _KNOWN[points]
+    if out.size and out.min() < 0:
+        for p in np.unique(points[out < 0]):
+            _KNOWN[p] = code(chr(p))
+        out = _KNOWN[points]
+    return out
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols padded on the right, lengths)."""
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.full((len(texts), max(1, lengths.max(initial=1))), PAD, dtype=np.int64)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = [code(c) for c in t]
+    out[np.arange(out.shape[1]) < lengths[:, None]] = symbols("".join(texts))
     return out, lengths
 
 
+def inside_words(texts: list[str], width: int) -> np.ndarray:
+    """(B, T): places whose character and the one before belong to one word of a script that parts words by spaces."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    joined = "".join(texts)
+    letter = np.fromiter(map(str.isalnum, joined), dtype=bool, count=len(joined)) & (symbols(joined) != UNCASED)
+    out = np.zeros((len(texts), width), dtype=bool)
+    out[np.arange(width) < lengths[:, None]] = letter
+    out[:, 1:] &= out[:, :-1]
+    out[:, 0] = False
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -86,68 +108,126 @@ class Tagger:
             out[t] = h
         return out, saved
 
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """States (T, B, H) of one direction over symbols (T, B) read from the first row on; for tagging only.
+
+        Gates lie apart in memory and every activation is a logistic function: with weights scaled beforehand,
+        tanh(v) is 2 / (1 + exp(-2 v)) - 1.
+        """
+        h_n, (t_n, b) = self.hidden, x.shape
+        scale = -np.array([1, 1, 1, 2], np.float32)[:, None, None]
+        table = np.ascontiguousarray(self.p[f"x{d}"].reshape(-1, 4, h_n).transpose(1, 0, 2)) * scale
+        u = np.ascontiguousarray(self.p[f"u{d}"].reshape(h_n, 4, h_n).transpose(1, 0, 2)) * scale
+        z, zh = np.empty((4, b, h_n), np.float32), np.empty((4, b, h_n), np.float32)
+        c, s, out = np.zeros((b, h_n), np.float32), np.empty((b, h_n), np.float32), np.empty((t_n, b, h_n), np.float32)
+        h = np.zeros((b, h_n), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(t_n):
+                np.take(table, x[t], axis=1, out=z, mode="clip")
+                z += np.matmul(h, u, out=zh)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g = z[3]
+                g *= 2
+                g -= 1
+                c *= z[1]
+                g *= z[0]
+                c += g
+                np.multiply(c, -2, out=s)
+                np.exp(s, out=s)
+                s += 1
+                np.divide(2, s, out=s)
+                s -= 1
+                h = np.multiply(z[2], s, out=out[t])
+        return out
+
     def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(T, B, tags)."""
-        mask = (np.arange(x.shape[1]) < lengths[:, None]).astype(np.float32)
-        h = np.concatenate([self._run("f", x, mask, False)[0], self._run("b", x, mask, False)[0]], axis=2)
-        return h @ self.p["w"] + self.p["b"]
+        """(T, B, tags) of symbols (B, T); what lies beyond a text's length means nothing."""
+        n, t_n = self.hidden, x.shape[1]
+        forward = self._states("f", np.ascontiguousarray(x.T)) @ self.p["w"][:n] + self.p["b"]
+        turned = np.where((at := lengths - 1 - np.arange(t_n)[:, None]) >= 0, at, np.arange(t_n)[:, None])  # each text from its end
+        back = self._states("b", np.take_along_axis(np.ascontiguousarray(x.T), turned, 0)) @ self.p["w"][n:]
+        return forward + np.take_along_axis(back, turned[:, :, None], 0)
+
+    def silent(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Texts whose best tags are certainly all 0: at no place can another tag make up for what it and the way back cost."""
+        t, s = self.p["t"], self.p["s"]
+        back = max(0.0, float((t[1:, 0] - t[0, 0]).max()))
+        into = t[:, 1:].max(0)
+        gain = (e[:, :, 1:] + into).max(2) - (e[:, :, 0] + t[0, 0]) + back
+        gain[0] = (e[0, :, 1:] + s[1:]).max(1) - (e[0, :, 0] + s[0]) + back
+        return ~((gain >= 0) & (np.arange(len(e))[:, None] < lengths)).any(0)
 
-    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags (B, T) of emissions (T, B, tags); the padding gets tag 0."""
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """Best tags (B, T) of emissions (T, B, tags); the padding gets tag 0.
+
+        At the places `inside` (B, T) words no piece may begin or end: the tag before goes on.
+        """
         t_n, b, k = e.shape
         score, back = e[0] + self.p["s"], np.zeros((t_n, b, k), np.int8)
         ends = np.where((lengths == 1)[:, None], score, -np.inf)
+        free = np.ascontiguousarray(self.p["t"].T)
+        if inside is not None:
+            tag = np.arange(k)
+            goes_on = (tag[:, None] == tag) & ((tag == 0) | (tag % 2 == 0)) | ((tag[None, :] > 0) & (tag[None, :] % 2 == 0) & (tag[:, None] == tag[None, :] - 1))
+            held = np.where(goes_on, self.p["t"], -1e4).T.astype(np.float32)
         for t in range(1, t_n):
-            every = score[:, :, None] + self.p["t"]
-            back[t] = every.argmax(1)
-            score = np.take_along_axis(every, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
-            ends = np.where((lengths == t + 1)[:, None], score, ends)
+            step = free[None] if inside is None else np.where(inside[:, t, None, None], held[None], free[None])
+            every = score[:, None, :] + step
+            best = every.argmax(2)
+            back[t] = best
+            score = np.take_along_axis(every, best[:, :, None], 2)[:, :, 0] + e[t]
+            done = lengths == t + 1
+            if done.any():
+                ends[done] = score[done]
         tags = np.zeros((b, t_n), np.int64)
         at = ends.argmax(1)
+        rows = np.arange(b)
         for t in range(t_n - 1, -1, -1):
             live = lengths > t
             tags[live, t] = at[live]
-            before = back[t][np.arange(b), at]
-            at = np.where(live & (t > 0), before, at)
+            if t:
+                at = np.where(live, back[t][rows, at], at)
         return tags
 
     def loss_and_gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray):
         """Mean negative log likelihood of the tags per sequence, and its gradients."""
         t_n, b, k = x.shape[1], len(x), self.tags
-        mask = (np.arange(t_n) < lengths[:, None]).astype(np.float32)
+        live = np.arange(t_n)[:, None] < lengths
+        mask = live.T.astype(np.float32)
         hf, sf = self._run("f", x, mask, True)
         hb, sb = self._run("b", x, mask, True)
         h = np.concatenate([hf, hb], axis=2)
         e = (h @ self.p["w"] + self.p["b"]).astype(np.float64)
         trans, start = self.p["t"].astype(np.float64), self.p["s"].astype(np.float64)
-        lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        alpha = np.empty((t_n, b, k))
-        alpha[0] = e[0] + start
+        # forward and backward sums of the chain in scaled probabilities; beyond a text's end they are carried on
+        top = e.max(2)
+        w = np.exp(e - top[:, :, None])
+        step = np.exp(trans - trans.max())
+        alpha, beta, scale = np.empty((t_n, b, k)), np.ones((t_n, b, k)), np.ones((t_n, b))
+        first = w[0] * np.exp(start - start.max())
+        scale[0] = first.sum(1)
+        alpha[0] = first / scale[0][:, None]
         for t in range(1, t_n):
-            new = lse(alpha[t - 1][:, :, None] + trans, 1) + e[t]
-            alpha[t] = np.where(mask[:, t, None] > 0, new, alpha[t - 1])
-        z = lse(alpha[-1], 1)
-        beta = np.zeros((t_n, b, k))
-        g_t = np.zeros((k, k))
-        g_e = np.zeros((t_n, b, k))
+            new = (alpha[t - 1] @ step) * w[t]
+            scale[t] = np.where(live[t], new.sum(1), 1.0)
+            alpha[t] = np.where(live[t][:, None], new / scale[t][:, None], alpha[t - 1])
+        pairs = np.zeros((k, k))
         for t in range(t_n - 1, 0, -1):
-            inner = e[t] + beta[t]
-            new = lse(trans[None] + inner[:, None, :], 2)
-            live = mask[:, t, None] > 0
-            beta[t - 1] = np.where(live, new, beta[t])
-            pair = np.exp(alpha[t - 1][:, :, None] + trans[None] + inner[:, None, :] - z[:, None, None]) * live[:, :, None]
-            g_t += pair.sum(0)
-        g_e = np.exp(alpha + beta - z[None, :, None]) * mask.T[:, :, None]
-        rows = np.arange(b)
-        gold = start[y[:, 0]] + e[0, rows, y[:, 0]]
+            inner = np.where(live[t][:, None], w[t] * beta[t] / scale[t][:, None], 0.0)
+            beta[t - 1] = np.where(live[t][:, None], inner @ step.T, beta[t])
+            pairs += alpha[t - 1].T @ inner
+        g_t = pairs * step
+        z = (np.log(scale) + np.where(live, top, 0.0)).sum(0) + start.max() + trans.max() * (lengths - 1)
+        g_e = alpha * beta * live[:, :, None]
+        tag = y.T
         g_s = g_e[0].sum(0)
-        np.subtract.at(g_s, y[:, 0], 1)
-        g_e[0, rows, y[:, 0]] -= 1
-        for t in range(1, t_n):
-            live = np.flatnonzero(mask[:, t] > 0)
-            gold[live] += trans[y[live, t - 1], y[live, t]] + e[t, live, y[live, t]]
-            np.subtract.at(g_t, (y[live, t - 1], y[live, t]), 1)
-            g_e[t, live, y[live, t]] -= 1
+        np.subtract.at(g_s, tag[0], 1)
+        gold = start[tag[0]] + np.where(live, np.take_along_axis(e, tag[:, :, None], 2)[:, :, 0], 0.0).sum(0) + np.where(live[1:], trans[tag[:-1], tag[1:]], 0.0).sum(0)
+        np.subtract.at(g_t, (tag[:-1][live[1:]], tag[1:][live[1:]]), 1)
+        at_t, at_b = np.nonzero(live)
+        g_e[at_t, at_b, tag[at_t, at_b]] -= 1
         loss = float((z - gold).mean())
         g_e = (g_e / b).astype(np.float32)
         grads = {"t": (g_t / b).astype(np.float32), "s": (g_s / b).astype(np.float32)}
@@ -155,9 +235,11 @@ class Tagger:
         grads["w"], grads["b"] = h.reshape(-1, h.shape[2]).T @ flat, flat.sum(0)
         g_h = g_e @ self.p["w"].T
         n = self.hidden
+        seen = np.zeros((t_n * b, VOCABULARY), np.float32)
+        seen[np.arange(t_n * b), x.T.ravel()] = 1
         for d, saved, part in (("f", sf, g_h[:, :, :n]), ("b", sb, g_h[:, :, n:])):
             u = self.p[f"u{d}"]
-            g_x, g_u = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u)
+            dzs, before = np.zeros((t_n, b, 4 * n), np.float32), np.zeros((t_n, b, n), np.float32)
             dh, dc = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
             for t, i, f, o, g, tc, c, hp in reversed(saved):
                 m = mask[:, t : t + 1]
@@ -165,20 +247,30 @@ class Tagger:
                 dc = dc * m
                 do = dh * tc
                 dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), do * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(g_x, x[:, t], dz)
-                g_u += hp.T @ dz
+                dz = dzs[t]
+                dz[:, :n] = dc * g * i * (1 - i)
+                dz[:, n : 2 * n] = dc * c * f * (1 - f)
+                dz[:, 2 * n : 3 * n] = do * o * (1 - o)
+                dz[:, 3 * n :] = dc * i * (1 - g * g)
+                before[t] = hp
                 dh = dz @ u.T
                 dc = dc * f
-            grads[f"x{d}"], grads[f"u{d}"] = g_x, g_u
+            flat = dzs.reshape(-1, 4 * n)
+            grads[f"x{d}"], grads[f"u{d}"] = seen.T @ flat, before.reshape(-1, n).T @ flat
         return loss, grads
 
-    def fit(self, batches, rate: float = 0.004, report=None) -> None:
-        """Adam over an iterable of (symbols, lengths, tags, share of the schedule done)."""
+    def fit(self, batches, rate: float = 0.004, report=None, workers: int = 1) -> None:
+        """Adam over an iterable of (symbols, lengths, tags, share of the schedule done); a batch is shared out to `workers` processes."""
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
         for step, (x, lengths, y, done) in enumerate(batches, 1):
-            loss, grads = self.loss_and_gradients(x, lengths, y)
+            if pool:
+                cuts = [(self.p, self.hidden, self.tags, x[i::workers], lengths[i::workers], y[i::workers]) for i in range(workers)]
+                parts = pool.map(_part, cuts, chunksize=1)
+                loss, grads = sum(a for a, _ in parts) / workers, {k: sum(g[k] for _, g in parts) / workers for k in self.p}
+            else:
+                loss, grads = self.loss_and_gradients(x, lengths, y)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             clip = min(1.0, 5.0 / (norm + 1e-9))
             lr = rate * (1 - 0.95 * done)
@@ -186,6 +278,17 @@ class Tagger:
                 g = g * clip
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                self.p[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                self.p[k] = self.p[k] - (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             if report:
                 report(step, loss)
+        if pool:
+            pool.terminate()
+
+
+def _part(task):
+    """Loss and gradients of one share of a batch, in a worker process."""
+    params, hidden, tags, x, lengths, y = task
+    model = Tagger.__new__(Tagger)
+    model.p, model.hidden, model.tags = params, hidden, tags
+    width = int(lengths.max())
+    return model.loss_and_gradients(x[:, :width], lengths, y[:, :width])

@@ -33,6 +33,27 @@ def test_long_text_is_read_whole_and_windows_agree():
     assert found(crowd) == {("person_name", "Patricia Klimardi")}
 
 
+def test_pieces_the_tables_do_not_hold():
+    assert found("We met Hiroshi Tanaka and Lucia Moretti.") == {("person_name", "Hiroshi Tanaka"), ("person_name", "Lucia Moretti")}
+    assert found("Мы встретили Сергей Волков вчера.") == {("person_name", "Сергей Волков")}
+    assert found("She lives at Via Garibaldi 14 now.") == {("street_address", "Via Garibaldi 14")}
+    assert found("Reach me at 0171 2345678 after six.") == {("phone", "0171 2345678")}
+    assert found("We met Anna van der Berg yesterday.") == {("person_name", "Anna van der Berg")}
+    assert found("IBAN DE89 3704 0044 0532 0130 00 is on the invoice.") == set()
+
+
+def test_lines_that_cannot_hold_a_piece_are_those_without_one():
+    m = Tagger(4, 5, seed=3)
+    m.p["t"] = np.random.default_rng(1).standard_normal((5, 5)).astype(np.float32)
+    texts = ["\n" + "".join(np.random.default_rng(i).choice(list("abcAB 12."), 12)) for i in range(300)]
+    x, lengths = encode(texts)
+    e = m.emissions(x, lengths)
+    e[:, :, 0] += 3.5
+    silent = m.silent(e, lengths)
+    tags = m.viterbi(e, lengths)
+    assert silent.any() and not tags[silent].any()
+
+
 def test_table(spark):
     s = spark.createDataFrame([(1, "cc bo.rand@x.test on the thread"), (1, "cc bo.rand@x.test on the thread"), (2, None), (3, ""), (4, "nothing here")], "source_seq long, body string").selectExpr("*", "'x' AS origin", "'y' AS t")
     c = spark.createDataFrame([(7, "Ping bo.rand@x.test about bo.rand@x.test now"), (8, None)], "claim_no long, quote string")
