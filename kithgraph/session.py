@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,13 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a local one when it is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`. Only a local master (tests) may leave it unset; then it is
+    a folder of this machine, which on a cluster would be refused."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder all executors of {master} share")
     path = os.path.join(tempfile.gettempdir(), f"kithgraph-{uuid.uuid4().hex[:8]}")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -69,17 +74,34 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """Write `df` once as Parquet to the shared folder and read it back: a columnar, prunable cut of the lineage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def append_bucketed(df: DataFrame, name: str, key: str, buckets: int, *partitions: str) -> DataFrame:
+    """Append `df` to the table `name` in the shared folder, bucketed and sorted by `key`: a join on `key` with the table
+    this returns reads what is stored without shuffling it. One file a bucket and append."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
+    if name not in _TABLES:
+        _TABLES.append(name)
+        _WRITTEN.append(path)
+    out = df.repartition(buckets, key).write.mode("append").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (out.partitionBy(*partitions) if partitions else out).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def clear_written(spark: SparkSession) -> int:
     """Delete the tables this process has written to the shared folder; call it when their results have been stored."""
     n = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS `{_TABLES.pop()}`")
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
