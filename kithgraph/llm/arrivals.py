@@ -10,19 +10,24 @@ group's distances, inside ranges of the length (the distance to the empty text):
 length, group and distances, never by workspace alone, so a large workspace is spread. Sums over 16 coarser pivots
 carried in the rows prune again, and the true distance is verified on the bags of the few pairs left.
 
-The table (`pivot_table`) is append-only: a new batch computes its own rows, joins them with the stored ones and is
-appended; nothing of the history is read again but its pivot rows.
+Batches are taken in order. A batch computes its own pivot rows, looks its keys up in the stored index (`History`),
+which is bucketed by key and so is read without a shuffle, and is appended; nothing of the history is computed again.
+Every arrival gets a root: the first arrival accepted of those it repeats, directly or through others. A family of
+near copies may be very large, so rows are first tied to the earliest member of a few buckets; afterwards only rows
+of *different* roots are compared, and again where a root has changed, until no root changes. A batch, or all batches
+at once, therefore end with the same roots as a comparison of all with all.
 
 Defined results: arrivals without a transcript repeat only by external id or content hash; null, blank and
-placeholder ids and hashes match nothing; null workspaces match nothing; exact copies of a bag are represented by
-their first arrival, so a group of copies costs one row per key, however large; a family of near copies is tied to its
-earliest member, and a repeat of a repeat belongs to the arrival that was accepted.
+placeholder ids and hashes match nothing; null workspaces match nothing; a null batch is the first; exact copies of a
+bag are represented by their first arrival, so a group of copies costs one row per key, however large; a repeat of a
+repeat belongs to the arrival that was accepted; source_seq grows from batch to batch.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -33,13 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kithgraph.llm import transcripts
-from kithgraph.operators.skew import salted_join
-from kithgraph.session import written
+from kithgraph.operators.skew import SALTS, salted_join
+from kithgraph.session import append_bucketed, written
 
 #: Largest distance of a repeat, as a share of the longer text's words (a replaced word counts twice).
 RADIUS = 0.10
+#: Fewest pivots; ranges of long texts take as many as they need (`pivots_of`).
 PIVOTS = 1024
 COARSE = 16
+#: Buckets of a stored index; a larger history takes more.
+BUCKETS = 32
 #: Groups of each range by which a large family of near copies is first tied to its earliest member.
 LEADS = 4
 #: Lengths of one range differ by at most this factor.
@@ -49,8 +57,6 @@ RANGE = 1.25
 PLACEHOLDER_IDS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "undefined", "tbd", "0", "?", "not set", "(not set)", "missing", "test", "id")
 
 _WORD = re.compile(r"[^\W_]+")
-_RANDOM = np.random.default_rng(20240229)
-_WEIGHTS = _RANDOM.integers(1, 2**63 - 1, size=PIVOTS, dtype=np.int64) | 1
 
 
 @lru_cache(maxsize=100_000)
@@ -77,7 +83,17 @@ def levels(n: int) -> list[int]:
 
 def groups_of(level: int) -> int:
     """One group more than the words two texts of that range may differ by."""
-    return min(PIVOTS, int(RADIUS * RANGE**level) + 2)
+    return int(RADIUS * RANGE**level) + 2
+
+
+def pivots_of(level: int) -> int:
+    """Hash classes of a range: never fewer than its groups, so that no group is empty and the bound always holds."""
+    return max(PIVOTS, 1 << (groups_of(level) - 1).bit_length())
+
+
+@lru_cache(maxsize=64)
+def _weights(pivots: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(1, 2**63 - 1, size=pivots, dtype=np.int64) | 1
 
 
 class _Codes(dict):
@@ -97,16 +113,17 @@ def _features(words: list[str]) -> tuple:
     if not len(codes):
         return 0, None, [], [], [0] * COARSE, None
     codes.sort()
-    counts = np.bincount(codes % PIVOTS, minlength=PIVOTS)
+    counts = {PIVOTS: np.bincount(codes % PIVOTS, minlength=PIVOTS)}
     keys = []
     with np.errstate(over="ignore"):
-        mixed = counts.astype(np.int64) * _WEIGHTS
         for level in levels(len(codes)):
-            g = groups_of(level)
-            cuts = (np.arange(g) * PIVOTS) // g
-            keys.append(np.add.reduceat(mixed, cuts) * np.int64(1_000_003) + np.arange(g, dtype=np.int64) * np.int64(7_919) + np.int64(level * 104_729))
-        same = int(np.int64(zlib.crc32(codes.tobytes())) * np.int64(1_000_003) + mixed.sum())
-    return len(codes), same, np.concatenate(keys).tolist(), np.concatenate([k[:LEADS] for k in keys]).tolist(), counts.reshape(COARSE, -1).sum(1).clip(0, 32767).tolist(), codes.tobytes()
+            g, p = groups_of(level), pivots_of(level)
+            if p not in counts:
+                counts[p] = np.bincount(codes % p, minlength=p)
+            cuts = (np.arange(g) * p) // g
+            keys.append(np.add.reduceat(counts[p].astype(np.int64) * _weights(p), cuts) * np.int64(1_000_003) + np.arange(g, dtype=np.int64) * np.int64(7_919) + np.int64(level * 104_729))
+        same = int(np.int64(zlib.crc32(codes.tobytes())) * np.int64(1_000_003) + (counts[PIVOTS].astype(np.int64) * _weights(PIVOTS)).sum())
+    return len(codes), same, np.concatenate(keys).tolist(), np.concatenate([k[:LEADS] for k in keys]).tolist(), counts[PIVOTS].reshape(COARSE, -1).sum(1).clip(0, 32767).tolist(), codes.tobytes()
 
 
 @F.pandas_udf(_FEATURES)
@@ -119,18 +136,12 @@ def _real(c: Column, least: int = 2) -> Column:
     return F.when(~F.lower(v).isin(*PLACEHOLDER_IDS) & (F.length(v) >= least), v)
 
 
-def pivot_table(sources: DataFrame) -> DataFrame:
+def pivot_table(sources: DataFrame, batch: Column | None = None) -> DataFrame:
     """One row per arrival: its workspace, real ids, length, pivot keys, coarse pivot distances and bag."""
+    more = [] if batch is None else [batch.alias("batch")]
     return sources.where(F.col("workspace_id").isNotNull()).select(
-        F.col("source_seq").alias("seq"), F.col("workspace_id").alias("ws"), _real(F.col("external_id")).alias("ext"), F.lower(_real(F.col("content_hash"), 32)).alias("hash"), features("body", "attendee_hints").alias("f")
-    ).select("seq", "ws", "ext", "hash", "f.*")
-
-
-def _firsts(rows: DataFrame, key: str) -> DataFrame:
-    """(earlier, later): the first arrival of each (workspace, key) with each later one; one row per arrival."""
-    keyed = rows.where(F.col(key).isNotNull()).select(F.xxhash64("ws", key).alias("k"), "seq")
-    first = keyed.groupBy("k").agg(F.min("seq").alias("earlier"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return salted_join(keyed, first, "k").where("earlier < seq").select("earlier", F.col("seq").alias("later"))
+        F.col("source_seq").alias("seq"), F.col("workspace_id").alias("ws"), _real(F.col("external_id")).alias("ext"), F.lower(_real(F.col("content_hash"), 32)).alias("hash"), features("body", "attendee_hints").alias("f"), *more
+    ).select("seq", "ws", "ext", "hash", "f.*", *(["batch"] if more else []))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -149,81 +160,147 @@ def bag_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(earlier, later, distance) of the candidate pairs within the radius; a pair's hot side is salted."""
-    pairs = written(pairs.select("earlier", "later").distinct(), "pairs")
-    bag = lambda side, name: rows.select(F.col("seq").alias(side), F.col("bag").alias(name)).dropDuplicates([side])
+def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join whose left side may hold any share of its rows under one key: all keys are salted, so nothing has to be
+    counted first; `right` has one small row a key."""
+    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return salted.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"]).drop("_salt")
+
+
+def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The candidate pairs (earlier, later, ...) within the radius; a pair's hot side is salted. `bags` has seq and bag."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    bag = lambda side, name: bags.select(F.col("seq").alias(side), F.col("bag").alias(name))
     with_bags = salted_join(pairs, bag("earlier", "x"), "earlier").join(bag("later", "y"), "later")
-    return with_bags.select("earlier", "later", bag_distance("x", "y").alias("distance")).where(F.col("distance") <= RADIUS)
+    return with_bags.where(bag_distance("x", "y") <= RADIUS).select(pairs.columns)
 
 
-def _keyed(rows: DataFrame, name: str) -> DataFrame:
-    """One row per key of `rows`, its columns named for a side of a join."""
-    return rows.select("ws", F.col("seq").alias(f"seq_{name}"), F.col("n").alias(f"n_{name}"), F.col("coarse").alias(f"c_{name}"), F.explode("keys").alias("key")).withColumn("key", F.xxhash64("ws", "key")).drop("ws")
+class History:
+    """What has been accepted: an append-only index of keys, bucketed by key, and the bags, bucketed by arrival.
 
+    Kinds of keys: 0 exact (ids, hashes, equal bags), 1 the lead groups, 2 all groups. A row of the index holds the
+    arrival, its root, its length and its coarse pivot distances.
+    """
 
-def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(earlier, later) of the pairs of both sides that share a key and are not apart by length or coarse pivots."""
-    bound = F.greatest("n_a", "n_b") * RADIUS
-    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = _keyed(a, "a").join(_keyed(b, "b"), "key").where((F.col("seq_a") != F.col("seq_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound) & (apart <= bound))
-    return pairs.select(F.least("seq_a", "seq_b").alias("earlier"), F.greatest("seq_a", "seq_b").alias("later"))
+    def __init__(self, buckets: int = BUCKETS):
+        self.name, self.buckets = f"pivots_{uuid.uuid4().hex}", buckets
+        self.index: DataFrame | None = None
+        self.bags: DataFrame | None = None
+
+    def lookup(self, keys: DataFrame, kind: int) -> DataFrame | None:
+        """Stored rows of a kind with one of the keys."""
+        return None if self.index is None else self.index.where(F.col("kind") == kind).join(keys.select("key").distinct(), "key", "left_semi").drop("kind")
+
+    def append(self, index: DataFrame, bags: DataFrame) -> None:
+        self.index = append_bucketed(index.select("key", "seq", "root", "n", "coarse", "kind"), self.name, "key", self.buckets, "kind")
+        self.bags = append_bucketed(bags.select("seq", "bag"), f"{self.name}_bags", "seq", self.buckets)
+
+
+def _roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seq, root): the least root an arrival reaches over edges (later, earlier, root of a stored earlier one or null)."""
+    stored = edges.where("root IS NOT NULL").groupBy(F.col("later").alias("seq")).agg(F.min("root").alias("low"))
+    label = written(rows.select("seq").distinct().join(stored, "seq", "left").select("seq", F.least("seq", F.coalesce("low", "seq")).alias("root")), "roots")
+    inner = edges.where("root IS NULL").select("later", "earlier")
+    if inner.isEmpty():
+        return label
+    inner = written(inner.distinct(), "links")
+    while True:  # along the links and along the roots of their ends, so a chain halves each round
+        ends = inner.select(F.col("earlier").alias("seq")).distinct().join(label, "seq")
+        higher = ends.join(label.select(F.col("seq").alias("root"), F.col("root").alias("higher")), "root", "left")
+        low = _spread(inner, higher.select(F.col("seq").alias("earlier"), F.coalesce("higher", "root").alias("low")), "earlier")
+        low = low.groupBy(F.col("later").alias("seq")).agg(F.min("low").alias("low"))
+        new = written(label.join(low, "seq", "left").select("seq", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root")), "roots")
+        label = new.select("seq", "root")
+        if new.where("root < old").isEmpty():
+            return label
+
+
+def _firsts(keyed: DataFrame, stored: DataFrame | None, *carry: Column) -> DataFrame:
+    """(key, earlier, root, is_new, ...): the first arrival of every key, its root if it is a stored one."""
+    first = keyed.groupBy("key").agg(F.min("seq").alias("f"), *carry)
+    if stored is None:
+        return first.select("*", F.col("f").alias("earlier"), F.lit(None).cast("long").alias("root"), F.lit(True).alias("is_new")).drop("f")
+    known = stored.groupBy("key").agg(F.min(F.struct("seq", "root")).alias("s"))
+    return first.join(known, "key", "left").select("*", F.coalesce("s.seq", "f").alias("earlier"), F.col("s.root").alias("root"), F.col("s").isNull().alias("is_new")).drop("f", "s")
+
+
+def _candidates(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(earlier, later, root): pairs that share a key, may be within the radius, and whose earlier one has a lesser root.
+
+    Both sides hold (key, seq, root, n, coarse, is_new). Rows that meet only rows of their own root, as a family of
+    near copies does, are left out key by key before the join.
+    """
+    low = known.groupBy("key").agg(F.min("root").alias("low"))
+    later = new.join(low, "key").where("root > low").drop("low")
+    later = later.select("key", F.col("seq").alias("later"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("coarse").alias("c_b"))
+    high = later.groupBy("key").agg(F.max("root_b").alias("high"))
+    earlier = known.join(high, "key").where("root < high").drop("high")
+    bound = F.greatest("n", "n_b") * RADIUS
+    apart = F.aggregate(F.zip_with("coarse", "c_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+    pairs = earlier.join(later, "key").where((F.col("seq") < F.col("later")) & (F.col("root") < F.col("root_b")) & (F.abs(F.col("n") - F.col("n_b")) <= bound) & (apart <= bound))
+    return pairs.select(F.col("seq").alias("earlier"), "later", F.when(~F.col("is_new"), F.col("root")).alias("root")).distinct()
+
+
+def accept(history: History, rows: DataFrame) -> DataFrame:
+    """(accepted_seq, duplicate_seq) of a batch of pivot rows against all that is stored, which the batch is added to."""
+    key = lambda kind, c: F.when(c.isNotNull(), F.struct(F.xxhash64(F.lit(kind), "ws", c).alias("key"), F.lit(kind == "same").alias("bag")))
+    own = F.array_compact(F.array(key("ext", F.col("ext")), key("hash", F.when(F.col("same").isNull(), F.col("hash"))), key("same", F.col("same"))))
+    exact = rows.select("seq", F.explode(own).alias("k")).select("seq", "k.*")
+    firsts = written(_firsts(exact, history.lookup(exact, 0), F.max("bag").alias("bag")), "firsts")
+    edges = _spread(exact.select(F.col("seq").alias("later"), "key"), firsts.select("key", "earlier", "root"), "key").where("earlier < later").select("earlier", "later", "root")
+
+    # one row of each bag that is not stored; its near copies are looked for
+    reps = firsts.where("bag AND is_new").select(F.col("earlier").alias("seq"))
+    kept = written(rows.join(reps, "seq", "left_semi").dropDuplicates(["seq"]).select("seq", "ws", "n", "keys", "leads", "coarse", "bag"), "kept")
+    bags = kept.select("seq", "bag") if history.bags is None else kept.select("seq", "bag").unionByName(history.bags)
+    lead = kept.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key"))
+    leads = written(_firsts(lead, history.lookup(lead, 1)), "leads")
+    tied = _spread(lead.withColumnRenamed("seq", "later"), leads.select("key", "earlier", "root"), "key").where("earlier < later").select("earlier", "later", "root").distinct()
+    edges = written(edges.unionByName(verified(tied, bags)), "edges")
+    roots = _roots(rows, edges)
+
+    grouped = written(kept.select("seq", "n", "coarse", F.explode("keys").alias("key"), "ws").withColumn("key", F.xxhash64("ws", "key")).drop("ws"), "groups")
+    stored = history.lookup(grouped, 2)
+    stored = None if stored is None else written(stored, "stored").withColumn("is_new", F.lit(False))
+    changed = None
+    while True:
+        new = grouped.join(roots, "seq").withColumn("is_new", F.lit(True))
+        known = new if changed is None else new.join(changed, "seq", "left_semi")
+        pairs = _candidates(new, known if changed is not None or stored is None else known.unionByName(stored))
+        more = written(verified(pairs, bags), "near")
+        if more.isEmpty():
+            break
+        edges, before = edges.unionByName(more), roots
+        roots = _roots(rows, edges)
+        changed = written(roots.join(before.withColumnRenamed("root", "old"), "seq").where("root < old").select("seq"), "changed")
+    rooted = lambda d: d.where("is_new").drop("root").withColumnRenamed("earlier", "seq").join(roots, "seq").select("key", "seq", "root", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<smallint>").alias("coarse"))
+    index = rooted(firsts).withColumn("kind", F.lit(0)).unionByName(rooted(leads).withColumn("kind", F.lit(1))).unionByName(grouped.join(roots, "seq").withColumn("kind", F.lit(2)))
+    history.append(index, kept)
+    return roots.where("root < seq").select(F.col("root").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"))
 
 
-def near_pairs(new: DataFrame, history: DataFrame) -> DataFrame:
-    """(earlier, later, distance) of all rows of `new` within the radius of an earlier one of `history`."""
-    pairs = _candidates(history, new).join(new.select(F.col("seq").alias("later")), "later", "left_semi")
-    return verified(pairs, history.unionByName(new)).where("earlier < later")
+def first_arrivals(table: DataFrame) -> DataFrame:
+    """(accepted_seq, duplicate_seq) over a pivot table, all its rows taken as one batch."""
+    return accept(History(), table)
 
 
-def near_links(rows: DataFrame) -> DataFrame:
-    """(earlier, later, distance): links that tie every row to an earlier one within the radius, if there is one.
+def append_batch(history: History, batch: DataFrame) -> DataFrame:
+    """(accepted_seq, duplicate_seq) of a new batch of sources; only its texts are read, and it is added to the history."""
+    return accept(history, written(pivot_table(batch), "pivots"))
 
-    A family of near copies may be very large, so it is never paired all with all: rows within the radius of the
-    earliest member of one of a few buckets are tied to it first, and of two tied rows no pair is formed any more.
-    Every other row still meets all rows, tied ones too.
-    """
-    lead = rows.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key"))
-    first = lead.groupBy("key").agg(F.min("seq").alias("earlier"), F.count("*").alias("k")).where("k > 1").drop("k")
-    tied = written(verified(salted_join(lead.withColumnRenamed("seq", "later"), first, "key").where("earlier < later"), rows), "tied")
-    ids = tied.select(F.col("later").alias("seq")).distinct()
-    free, bound = rows.join(ids, "seq", "left_anti"), rows.join(ids, "seq", "left_semi")
-    more = verified(_candidates(free, free).unionByName(_candidates(free, bound)), rows)
-    return tied.unionByName(more)
 
+def repeats(sources: DataFrame, history: History | None = None) -> DataFrame:
+    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace, batch after batch.
 
-def first_arrivals(table: DataFrame) -> DataFrame:
-    """(accepted_seq, duplicate_seq) over a pivot table: each repeat with the first arrival it repeats."""
-    copies = _firsts(table, "same")
-    reps = table.where(F.col("same").isNotNull()).groupBy("ws", "same").agg(F.min("seq").alias("seq")).select("seq")
-    kept = table.select("seq", "ws", "n", "keys", "leads", "coarse", "bag").join(reps, "seq", "left_semi")
-    near = near_links(kept).select("earlier", "later")
-    edges = _firsts(table, "ext").unionByName(_firsts(table.where(F.col("same").isNull()), "hash")).unionByName(copies).unionByName(near)
-    parent = written(edges.groupBy("later").agg(F.min("earlier").alias("earlier")), "parents")
-    while True:  # a repeat of a repeat belongs to the arrival that was accepted; the chain halves each round
-        up = parent.select(F.col("later").alias("earlier"), F.col("earlier").alias("higher"))
-        moved = written(parent.join(up, "earlier", "left").select("later", F.coalesce("higher", "earlier").alias("earlier"), F.col("higher").isNotNull().alias("moved")), "parents")
-        parent = moved.select("later", "earlier")
-        if moved.where("moved").isEmpty():
-            return parent.select(F.col("earlier").alias("accepted_seq"), F.col("later").alias("duplicate_seq"))
-
-
-def repeats(sources: DataFrame) -> DataFrame:
-    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace."""
-    return first_arrivals(written(pivot_table(sources), "pivots"))
-
-
-def append_batch(table: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, table): the repeats of a new batch against a stored pivot table, and the table with its rows appended.
-
-    Only the batch's texts are read; history is joined by its stored pivot rows.
+    The pivot rows of every arrival are computed once and stored by batch; each batch then meets the history before it.
     """
-    rows = written(pivot_table(batch), "pivots")
-    grown = table.unionByName(rows)
-    pairs = []
-    for key in ("ext", "hash", "same"):
-        first = table.where(F.col(key).isNotNull()).unionByName(rows.where(F.col(key).isNotNull())).groupBy("ws", key).agg(F.min("seq").alias("earlier"))
-        pairs.append(rows.join(first, ["ws", key]).where("earlier < seq").select("earlier", F.col("seq").alias("later")))
-    near = near_pairs(rows.where("n > 0"), grown.where("n > 0")).select("earlier", "later")
-    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(near)
-    return found.groupBy("later").agg(F.min("earlier").alias("accepted_seq")).select("accepted_seq", F.col("later").alias("duplicate_seq")), grown
+    history = history or History()
+    batch = F.coalesce("batch_id", F.lit(0)).cast("int") if "batch_id" in sources.columns else F.lit(0)
+    rows = written(pivot_table(sources, batch), "pivots", "batch")
+    found = None
+    for b in sorted(r["batch"] for r in rows.select("batch").distinct().collect()):  # one row a batch
+        pairs = accept(history, rows.where(F.col("batch") == b).drop("batch"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found if found is not None else sources.sparkSession.createDataFrame([], "accepted_seq long, duplicate_seq long")

@@ -19,8 +19,8 @@ def p3_found(spark, sf_dir):
 
 
 def p4_found(spark, sf_dir):
-    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace."""
-    return arrivals.repeats(table(spark, sf_dir, "sources").select("source_seq", "workspace_id", "external_id", "content_hash", "body", "attendee_hints"))
+    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace; batch after batch."""
+    return arrivals.repeats(table(spark, sf_dir, "sources").select("source_seq", "batch_id", "workspace_id", "external_id", "content_hash", "body", "attendee_hints"))
 
 
 def p5_found(spark, sf_dir):

@@ -1,6 +1,6 @@
 import random
 
-from kithgraph.llm.arrivals import RADIUS, append_batch, first_arrivals, pivot_table, repeats, spoken_words
+from kithgraph.llm.arrivals import RADIUS, History, append_batch, first_arrivals, groups_of, levels, pivot_table, pivots_of, repeats, spoken_words
 from kithgraph.session import written
 
 SCHEMA = "source_seq long, workspace_id string, external_id string, content_hash string, body string, attendee_hints string"
@@ -69,15 +69,56 @@ def test_against_brute_force(spark):
     assert got == {(i, j) for j, i in parent.items()}
 
 
+def _pairs(df):
+    return {(x["accepted_seq"], x["duplicate_seq"]) for x in df.collect()}
+
+
 def test_batches_one_by_one_find_the_same(spark):
     rows, want = _rows(3)
     df = spark.createDataFrame(rows, SCHEMA)
-    table = written(pivot_table(df.where("source_seq <= 3")), "history")
-    found = {(x["accepted_seq"], x["duplicate_seq"]) for x in first_arrivals(table).collect()}
-    for low, high in ((3, 6), (6, 10), (10, 13)):
-        pairs, table = append_batch(table, df.where(f"source_seq > {low} AND source_seq <= {high}"))
-        found |= {(x["accepted_seq"], x["duplicate_seq"]) for x in pairs.collect()}
+    history, found = History(4), set()
+    for low, high in ((0, 6), (6, 10), (10, 13)):
+        found |= _pairs(append_batch(history, df.where(f"source_seq > {low} AND source_seq <= {high}")))
     assert found == want
+    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 4).cast("int")))) == want
+
+
+def test_a_chain_has_one_root_in_batches_and_at_once(spark):
+    a = [f"word{i}" for i in range(300)]
+    b = [f"new{i}" if i < 10 else w for i, w in enumerate(a)]  # 0.07 apart
+    c = [f"new{i}" if 9 < i < 20 else w for i, w in enumerate(b)]  # 0.07 from b, 0.13 from a
+    df = spark.createDataFrame([(i + 1, "w", None, None, _body(t), None) for i, t in enumerate((a, b, c))], SCHEMA)
+    assert _pairs(first_arrivals(written(pivot_table(df), "chain"))) == {(1, 2), (1, 3)}
+    assert _pairs(repeats(df.withColumn("batch_id", df["source_seq"].cast("int")))) == {(1, 2), (1, 3)}
+
+
+def test_two_families_that_touch_through_tied_rows(spark):
+    r = random.Random(4)
+    base = _talk(r, 200)
+    talks = [base]
+    for _ in range(24):  # a family that drifts, so that rows tied to different members meet
+        talks.append(_changed(r, r.choice(talks[-4:]), 6))
+    df = spark.createDataFrame([(i, "w", None, None, _body(t), None) for i, t in enumerate(talks)], SCHEMA)
+    root = {}
+    for j, y in enumerate(talks):
+        near = [root[i] for i in range(j) if sum(abs(talks[i].count(w) - y.count(w)) for w in set(talks[i]) | set(y)) <= RADIUS * len(y)]
+        root[j] = min(near, default=j)
+    want = {(i, j) for j, i in root.items() if i < j}
+    assert _pairs(first_arrivals(written(pivot_table(df), "drift"))) == want
+    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 13).cast("int")))) == want
+
+
+def test_long_texts_have_more_groups_than_the_radius(spark):
+    for n in (40, 741, 10_240, 20_000, 50_000, 400_000):
+        for level in levels(n):
+            assert RADIUS * n < groups_of(level) <= pivots_of(level) or n > 1.25**level
+    r = random.Random(2)
+    long = [f"w{r.randint(0, 9000)}" for _ in range(50_000)]
+    near = list(long)
+    for i in r.sample(range(50_000), 2_300):
+        near[i] = f"v{i}"
+    df = spark.createDataFrame([(1, "w", None, None, _body(long, per=400), None), (2, "w", None, None, _body(near, per=400), None)], SCHEMA)
+    assert _pairs(repeats(df)) == {(1, 2)}
 
 
 def test_words():
