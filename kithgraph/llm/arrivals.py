@@ -10,7 +10,7 @@ group's distances, inside ranges of the length (the distance to the empty text):
 length, group and distances, never by workspace alone, so a large workspace is spread. Sums over 16 coarser pivots
 carried in the rows prune again, and the true distance is verified on the bags of the few pairs left.
 
-Batches are taken in order. A batch computes its own pivot rows, looks its keys up in the stored index (`History`),
+A batch computes its own pivot rows, looks its keys up in the stored index (`History`),
 which is bucketed by key and so is read without a shuffle, and is appended; nothing of the history is computed again.
 Every arrival gets a root: the first arrival accepted of those it repeats, directly or through others. A family of
 near copies may be very large, so rows are first tied to the earliest member of a few buckets; afterwards only rows
@@ -291,16 +291,20 @@ def append_batch(history: History, batch: DataFrame) -> DataFrame:
     return accept(history, written(pivot_table(batch), "pivots"))
 
 
-def repeats(sources: DataFrame, history: History | None = None) -> DataFrame:
-    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace, batch after batch.
+def repeats(sources: DataFrame, history: History | None = None, one_by_one: bool = False) -> DataFrame:
+    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace.
 
-    The pivot rows of every arrival are computed once and stored by batch; each batch then meets the history before it.
+    The pivot rows of every arrival are computed once and stored by batch. Batch 0 is the accepted history; what has
+    arrived since meets it through the index, all new batches together, or each on its own (`one_by_one`). Both give the
+    same pairs; a batch costs some twenty jobs, however small it is.
     """
     history = history or History()
     batch = F.coalesce("batch_id", F.lit(0)).cast("int") if "batch_id" in sources.columns else F.lit(0)
     rows = written(pivot_table(sources, batch), "pivots", "batch")
     found = None
-    for b in sorted(r["batch"] for r in rows.select("batch").distinct().collect()):  # one row a batch
-        pairs = accept(history, rows.where(F.col("batch") == b).drop("batch"))
+    numbers = sorted(r["batch"] for r in rows.select("batch").distinct().collect())  # one row a batch
+    lots = [[b] for b in numbers] if one_by_one else [lot for lot in ([b for b in numbers if b <= 0], [b for b in numbers if b > 0]) if lot]
+    for lot in lots:
+        pairs = accept(history, rows.where(F.col("batch").isin(lot)).drop("batch"))
         found = pairs if found is None else found.unionByName(pairs)
     return found if found is not None else sources.sparkSession.createDataFrame([], "accepted_seq long, duplicate_seq long")

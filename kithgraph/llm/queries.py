@@ -19,7 +19,7 @@ def p3_found(spark, sf_dir):
 
 
 def p4_found(spark, sf_dir):
-    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace; batch after batch."""
+    """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace: the accepted history first, then what arrived since."""
     return arrivals.repeats(table(spark, sf_dir, "sources").select("source_seq", "batch_id", "workspace_id", "external_id", "content_hash", "body", "attendee_hints"))
 
 

@@ -89,7 +89,7 @@ def test_a_chain_has_one_root_in_batches_and_at_once(spark):
     c = [f"new{i}" if 9 < i < 20 else w for i, w in enumerate(b)]  # 0.07 from b, 0.13 from a
     df = spark.createDataFrame([(i + 1, "w", None, None, _body(t), None) for i, t in enumerate((a, b, c))], SCHEMA)
     assert _pairs(first_arrivals(written(pivot_table(df), "chain"))) == {(1, 2), (1, 3)}
-    assert _pairs(repeats(df.withColumn("batch_id", df["source_seq"].cast("int")))) == {(1, 2), (1, 3)}
+    assert _pairs(repeats(df.withColumn("batch_id", df["source_seq"].cast("int")), one_by_one=True)) == {(1, 2), (1, 3)}
 
 
 def test_two_families_that_touch_through_tied_rows(spark):
@@ -105,7 +105,7 @@ def test_two_families_that_touch_through_tied_rows(spark):
         root[j] = min(near, default=j)
     want = {(i, j) for j, i in root.items() if i < j}
     assert _pairs(first_arrivals(written(pivot_table(df), "drift"))) == want
-    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 13).cast("int")))) == want
+    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 13).cast("int")), one_by_one=True)) == want
 
 
 def test_long_texts_have_more_groups_than_the_radius(spark):
