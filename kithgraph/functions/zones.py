@@ -9,7 +9,8 @@ from datetime import datetime, timedelta, timezone
 import numpy as np
 
 _FIRST, _LAST = datetime(1950, 1, 1, tzinfo=timezone.utc), datetime(2101, 1, 1, tzinfo=timezone.utc)
-_STEP = timedelta(days=28)
+#: Two changes of one zone are never nearer than this.
+_STEP = timedelta(days=4)
 
 
 def installed_version() -> str:

@@ -48,7 +48,7 @@ def brokerage(edges: DataFrame) -> DataFrame:
     """
     step = written(adjacency(edges).select("workspace_id", "a", "b").distinct(), "steps")
     pair = step.select("workspace_id", F.col("a").alias("me"), F.col("b").alias("n"))
-    second = pair.join(step.select("workspace_id", F.col("a").alias("n"), F.col("b").alias("x")), ["workspace_id", "n"]).where("x <> me")
+    second = pair.join(step.select("workspace_id", F.col("a").alias("n"), F.col("b").alias("x")), ["workspace_id", "n"]).where("x <> me").select("workspace_id", "me", "n", "x").distinct()
     third = second.join(step.select("workspace_id", F.col("a").alias("x"), F.col("b").alias("y")), ["workspace_id", "x"]).where("y <> me").select("workspace_id", "me", "n", F.col("y").alias("x"))
     near = second.select("workspace_id", "me", "n", "x").unionByName(third).where("x <> n").distinct().groupBy("workspace_id", "me", "n").agg(F.count("*").alias("k"))
     best = near.groupBy("workspace_id", F.col("me").alias("node")).agg(F.max("k").alias("without"))
@@ -66,28 +66,28 @@ def cheapest_steps(edges: DataFrame, min_strength: float = 0.0, exclude: tuple[s
     return both.groupBy("workspace_id", "a", "b").agg(F.min(F.struct("cost", "relationship_type")).alias("m")).select("workspace_id", "a", "b", "m.cost", "m.relationship_type")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 4, min_strength: float = 0.0, exclude: tuple[str, ...] = (), avoid: DataFrame | None = None, rounds: int = 40) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 4, min_strength: float = 0.0, exclude: tuple[str, ...] = (), avoid: DataFrame | None = None) -> DataFrame:
     """(workspace_id, start, node, cost, hops, prev, path): one label per node as a hop-capped settle-in-order search leaves it.
 
     A fixpoint of relaxation from scratch: each round recomputes every label from the whole previous table, as labels
-    may get worse when their parent loses the right to expand. `starts` has workspace_id and start.
+    may get worse when their parent loses the right to expand. The k cheapest labels of a start are final after k
+    rounds, as a label depends on cheaper ones only, so the rounds end. `starts` has workspace_id and start.
     """
     step = written(cheapest_steps(edges, min_strength, exclude), "costs")
     if avoid is not None:
         step = step.join(avoid.select("workspace_id", F.col("node").alias("b")), ["workspace_id", "b"], "left_anti")
     pinned = starts.select("workspace_id", "start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.array("start").alias("path"))
     labels = written(pinned, "labels")
-    for _ in range(rounds):
+    while True:
         out = labels.where(F.col("hops") < max_hops).join(step.withColumnRenamed("a", "node").withColumnRenamed("cost", "step_cost"), ["workspace_id", "node"]).where("b <> start")
         offer = out.select("workspace_id", "start", F.col("b").alias("node"), F.struct((F.col("cost") + F.col("step_cost")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"), F.array_append("path", F.col("b")).alias("path")).alias("m"))
         new = pinned.unionByName(offer.groupBy("workspace_id", "start", "node").agg(F.min("m").alias("m")).select("workspace_id", "start", "node", "m.*"))
         new = written(new, "labels")
         same = new.join(labels.select("workspace_id", "start", "node", F.col("cost").alias("c0"), F.col("hops").alias("h0"), F.col("prev").alias("p0")), ["workspace_id", "start", "node"], "full")
-        changed = same.where(~(F.col("cost").eqNullSafe(F.col("c0")) & F.col("hops").eqNullSafe(F.col("h0")) & F.col("prev").eqNullSafe(F.col("p0")))).isEmpty()
+        settled = same.where(~(F.col("cost").eqNullSafe(F.col("c0")) & F.col("hops").eqNullSafe(F.col("h0")) & F.col("prev").eqNullSafe(F.col("p0")))).isEmpty()
         labels = new
-        if changed:
-            break
-    return labels
+        if settled:
+            return labels
 
 
 def bounded_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 3, min_strength: float = 0.0, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -125,12 +125,13 @@ def alternatives(edges: DataFrame, pair: DataFrame, k: int = 3, max_hops: int =
     return ranked.select("workspace_id", "start", "node", F.inline("best"))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): smallest node reachable by links (a, b) taken both ways; label propagation with shortcuts."""
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable by links (a, b) taken both ways; label propagation with shortcuts until
+    no label changes."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "links")
     label = written(nodes.select("node", F.col("node").alias("component")), "component")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("lower"))
@@ -138,8 +139,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         done = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         label = new
         if done:
-            break
-    return label
+            return label
 
 
 def downstream(links: DataFrame, open_nodes: DataFrame) -> DataFrame:

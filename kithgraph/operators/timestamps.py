@@ -5,7 +5,7 @@ rest as it stands, one mask character per text character. Every distinct mask is
 grammar once and yields the character spans of its fields; all texts of that mask are then converted together
 by array slices, without parsing a single row on its own.
 
-Defined results: null, empty, overlong (over 96 characters) or unreadable text, and text naming no real day or
+Defined results: null, empty or unreadable text (of any length), and text naming no real day or
 time, give null; a missing or unknown workspace zone counts as UTC, a missing date order as `mdy`.
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from kithgraph.functions.zones import ZoneTables
 
-LONGEST = 96
+#: Texts are laid out in tables of this width; longer ones in tables of their own, by powers of two.
+WIDTH = 96
 
 # Month and weekday names of the four languages, and zone abbreviations with offsets in minutes.
 MONTHS = {
@@ -219,11 +220,17 @@ def read_texts(texts: np.ndarray, zones: np.ndarray, orders: np.ndarray, tables:
     """Microseconds UTC and readability of texts with their workspace's zone and date order."""
     n = len(texts)
     out, ok = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    kept = [(i, t) for i, t in enumerate(s.strip() if isinstance(s, str) else "" for s in texts) if 0 < len(t) <= LONGEST and any(c.isdigit() for c in t)]
-    if not kept:
-        return out, ok
-    rows = np.array([i for i, _ in kept])
-    codes = np.array([t for _, t in kept], dtype=f"<U{LONGEST}").view(np.uint32).reshape(len(kept), LONGEST)
+    kept = [(i, t) for i, t in enumerate(s.strip() if isinstance(s, str) else "" for s in texts) if any(c.isdigit() for c in t)]
+    widths = np.array([max(WIDTH, 1 << (len(t) - 1).bit_length()) for _, t in kept], dtype=np.int64)
+    for width in np.unique(widths):
+        some = [kept[i] for i in np.flatnonzero(widths == width)]
+        codes = np.array([t for _, t in some], dtype=f"<U{width}").view(np.uint32).reshape(len(some), width)
+        _read_table(codes, np.array([i for i, _ in some]), zones, orders, tables, out, ok)
+    return out, ok
+
+
+def _read_table(codes: np.ndarray, rows: np.ndarray, zones: np.ndarray, orders: np.ndarray, tables: ZoneTables, out: np.ndarray, ok: np.ndarray) -> None:
+    """Fill `out` and `ok` at `rows` from texts of one width."""
     coarse = _text(masks(codes))
     for mask in np.unique(coarse):
         at = np.flatnonzero(coarse == mask)
@@ -249,7 +256,6 @@ def read_texts(texts: np.ndarray, zones: np.ndarray, orders: np.ndarray, tables:
             here = np.flatnonzero(fine == shape)
             to = rows[at[here]]
             out[to], ok[to] = _convert(span, own[here], zones[to], orders[to], tables)
-    return out, ok
 
 
 def utc_micros(fields: list[Column], zone: Column, date_order: Column, tables: ZoneTables | None = None) -> Column:

@@ -143,7 +143,7 @@ def awareness(mention_rows: DataFrame, roles: tuple[str, ...] = ("attendee", "sp
 def entity_of(entity_type: Column, workspace: Column, normalized: Column, surface: Column) -> Column:
     """Identity of a mention by exact normal form: one entity per workspace, type and name."""
     name = F.when(F.trim(normalized) != "", F.trim(F.lower(normalized))).otherwise(F.trim(F.lower(surface)))
-    return F.concat_ws(":", F.left(entity_type, F.lit(1)), F.left(workspace, F.lit(8)), name)
+    return F.concat_ws(":", F.left(entity_type, F.lit(1)), workspace, name)
 
 
 def exact_links(mention_rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -81,14 +81,16 @@ def top_evidence(rows: DataFrame, n: int = 3) -> DataFrame:
 def context_cards(ledger: DataFrame) -> DataFrame:
     """(workspace, src, dst, type, context_card): the first two distinct contexts, then bases; else label and sources."""
     c = edge_claims(ledger).withColumn("relationship_type", F.col("predicate"))
-    order = F.struct("observed_at", "claim_no")
-    ordered = lambda v: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), v.alias("v")))), lambda x: x["v"])
-    present = lambda a: F.filter(a, lambda v: v.isNotNull() & (v != ""))
-    g = c.groupBy("workspace_id", "src", "dst", "relationship_type").agg(
-        ordered(text_at(F.col("value"), "context")).alias("contexts"), ordered(text_at(F.col("value"), "basis")).alias("bases"), ordered(F.col("source_title")).alias("titles")
-    )
-    said = F.array_distinct(F.concat(present(F.col("contexts")), present(F.col("bases"))))
-    where = F.array_join(F.slice(F.array_distinct("titles"), 1, 2), ", ")
+    edge = ["workspace_id", "src", "dst", "relationship_type"]
+    # distinct texts with their first time by a partial aggregation, then two of each kind an edge: no list grows with it
+    texts = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in ((0, text_at(F.col("value"), "context")), (1, text_at(F.col("value"), "basis")), (2, F.col("source_title")))])
+    seen = c.select(*edge, F.struct("observed_at", "claim_no").alias("at"), F.explode(texts).alias("x")).groupBy(*edge, "x.kind", "x.v").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(W.partitionBy(*edge, F.col("kind"), (F.coalesce("v", F.lit("")) != "")).orderBy("at"))
+    few = seen.withColumn("rn", rank).where("rn <= 2")
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.coalesce("v", F.lit("")) != ""), F.struct("at", "v")))), lambda x: x["v"])
+    g = few.groupBy(*edge).agg(of(0).alias("contexts"), of(1).alias("bases"), of(2).alias("titles"))
+    said = F.array_distinct(F.concat("contexts", "bases"))
+    where = F.array_join(F.slice("titles", 1, 2), ", ")
     fallback = F.concat(dims.label(F.col("relationship_type")), F.when(where != "", F.concat(F.lit(" — established in "), where)).otherwise(""), F.lit("."))
     return g.select("workspace_id", "src", "dst", "relationship_type", F.when(F.size(said) > 0, F.array_join(F.slice(said, 1, 2), " ")).otherwise(fallback).alias("context_card"))
 
@@ -115,13 +117,17 @@ def fold_attributes(ledger: DataFrame) -> DataFrame:
     latest = lambda p, k: F.max_by(value(k), F.when(of(p, value(k)).isNotNull(), at))
     hook = F.when(F.col("predicate") == "outreach_hook", F.coalesce(value("hook"), value("what"))).when(F.col("predicate").isin("ask", "offer"), value("what"))
     hook_kind = F.when(F.col("predicate") == "outreach_hook", F.coalesce(value("kind"), F.lit("professional"))).otherwise(F.col("predicate"))
-    newest = F.struct((-F.unix_micros("observed_at")).alias("age"), (-F.col("claim_no")).alias("n"), hook.alias("hook"), hook_kind.alias("kind"), F.col("quote").alias("quote"), F.col("source_id").alias("source_id"))
+    one = F.struct("rn", hook.alias("hook"), hook_kind.alias("kind"), F.col("quote").alias("quote"), F.col("source_id").alias("source_id"))
+    last = W.partitionBy("workspace_id", "subject_entity").orderBy(F.desc("observed_at"), F.desc("claim_no"))
+    newest = c.where(F.coalesce(hook, F.lit("")) != "").withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= HOOKS_KEPT)  # limited before the shuffle
+    hooks = newest.groupBy("workspace_id", F.col("subject_entity").alias("entity_id")).agg(F.array_sort(F.collect_list(one)).alias("hooks"))
     g = c.groupBy("workspace_id", F.col("subject_entity").alias("entity_id")).agg(
         *[latest(p, k).alias(p) for p, k in SCALARS.items()],
         *[F.array_sort(F.collect_set(of(p, value("value")))).alias(a) for p, a in LISTS.items()],
-        F.slice(F.array_sort(F.collect_list(F.when(F.coalesce(hook, F.lit("")) != "", newest))), 1, HOOKS_KEPT).alias("hooks"),
     )
-    return g.withColumn("hooks", F.transform("hooks", lambda h: F.struct(h["hook"].alias("hook"), h["kind"].alias("kind"), h["quote"].alias("quote"), h["source_id"].alias("source_id"))))
+    g = g.join(hooks, ["workspace_id", "entity_id"], "left")
+    none = F.array().cast("array<struct<rn:int,hook:string,kind:string,quote:string,source_id:string>>")
+    return g.withColumn("hooks", F.transform(F.coalesce("hooks", none), lambda h: F.struct(h["hook"].alias("hook"), h["kind"].alias("kind"), h["quote"].alias("quote"), h["source_id"].alias("source_id"))))
 
 
 def relationship_contexts(ledger: DataFrame, n: int = 6) -> DataFrame:

@@ -8,15 +8,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph import dims
-from kithgraph.functions import scoring, text
+from kithgraph.functions import jsonx, scoring, text, vectors
 from kithgraph.operators.skew import salted_join
 from kithgraph.session import written
 
 
+def names_of(entities: DataFrame) -> Column:
+    """The canonical name of an entity and its other names (`aliases`, if there is such a column), once each."""
+    if "aliases" not in entities.columns:
+        return F.array("canonical_name")
+    more = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != "") & ~a.contains("@"))
+    return F.array_distinct(F.concat(F.array("canonical_name"), more))
+
+
 def aliases(entities: DataFrame) -> DataFrame:
-    """(entity_id, workspace_id, entity_type, key): the blocking keys of names, once each."""
-    keys = text.blocking_keys(F.col("canonical_name"), F.col("email"), F.col("org"))
-    return entities.select(F.col("id").alias("entity_id"), "workspace_id", "entity_type", F.explode(keys).alias("key")).distinct()
+    """(entity_id, workspace_id, entity_type, key): the blocking keys of every name, once each."""
+    named = entities.select("*", F.explode(names_of(entities)).alias("_name"))
+    keys = text.blocking_keys(F.col("_name"), F.col("email"), F.col("org"))
+    return named.select(F.col("id").alias("entity_id"), "workspace_id", "entity_type", F.explode(keys).alias("key")).distinct()
 
 
 def candidates(mentions: DataFrame, entities: DataFrame, cap: int | None = dims.CANDIDATE_CAP) -> DataFrame:
@@ -26,7 +35,8 @@ def candidates(mentions: DataFrame, entities: DataFrame, cap: int | None = dims.
     mail domain) are salted. Every pair is counted once by a partial aggregation.
     """
     keys = text.blocking_keys(F.col("surface_form"), F.col("email"), F.col("org"))
-    block = lambda df: df.withColumn("block", F.xxhash64("workspace_id", "entity_type", "key"))
+    family = F.when(F.col("entity_type") == "fund", "organization").otherwise(F.col("entity_type"))  # a fund may be an organisation and the reverse
+    block = lambda df: df.withColumn("block", F.xxhash64("workspace_id", family, "key"))
     m = block(mentions.select(F.col("id").alias("mention_id"), "workspace_id", "entity_type", F.explode(keys).alias("key"))).select("mention_id", "block")
     e = block(aliases(entities)).select("entity_id", "block")
     pairs = salted_join(m, e, "block").groupBy("mention_id", "entity_id").agg(F.count("*").alias("shared"))
@@ -41,9 +51,21 @@ def features(name: Column, org: Column, title: Column) -> Column:
     return F.struct(text.name_features(name).alias("person"), text.normalize_org(name).alias("other"), text.normalize_org(org).alias("org"), text.token_set(org).alias("org_tokens"), text.token_set(title).alias("title_tokens"))
 
 
-def score(person: Column, m: Column, e: Column, alone: Column, email: Column, known_email: Column, context: Column, overlap: Column) -> Column:
-    """struct(total, blocked, name, email, org) of a mention's `features` against an entity's."""
-    similar = F.when(person, text.feature_similarity(m["person"], e["person"])).otherwise(text.jaro_winkler(m["other"], e["other"]))
+def name_scores(pairs: DataFrame) -> DataFrame:
+    """(person, typed, known, similar, same) of the distinct (person, typed, known) names of pairs, each compared once."""
+    d = pairs.select("person", "typed", "known").distinct()
+    d = d.withColumn("a", text.name_features(F.col("typed"))).withColumn("b", text.name_features(F.col("known"))).withColumn("x", text.normalize_org(F.col("typed"))).withColumn("y", text.normalize_org(F.col("known")))
+    people, others = d.where("person"), d.where("NOT person")
+    people = people.select("person", "typed", "known", text.feature_similarity(F.col("a"), F.col("b")).alias("similar"), ((F.col("a.norm") == F.col("b.norm")) & (F.col("a.norm") != "")).alias("same"))
+    others = others.select("person", "typed", "known", text.jaro_winkler(F.col("x"), F.col("y")).alias("similar"), ((F.col("x") == F.col("y")) & (F.col("x") != "")).alias("same"))
+    return people.unionByName(others)
+
+
+def score(person: Column, m: Column, e: Column, alone: Column, email: Column, known_email: Column, context: Column, overlap: Column, similar: Column | None = None, same: Column | None = None) -> Column:
+    """struct(total, blocked, name, email, org) of a mention's `features` against an entity's; `similar` and `same` are the
+    best similarity and the equality of the mention's name with any of the entity's, if they are known already."""
+    if similar is None:
+        similar = F.when(person, text.feature_similarity(m["person"], e["person"])).otherwise(text.jaro_winkler(m["other"], e["other"]))
     both = (m["person"]["last"] != "") & (e["person"]["last"] != "")
     blocked = F.when(person, both & (similar < 0.6)).otherwise(similar < 0.72)
     present = lambda a, b: (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
@@ -54,8 +76,9 @@ def score(person: Column, m: Column, e: Column, alone: Column, email: Column, kn
     raw = (0.3 * similar + 0.45 * mail + 0.2 * employer + 0.2 * context + 0.15 * overlap + 0.05 * titles) / 1.35 + 0.35 * similar
     total = scoring.clamp01(raw) + F.when(alone, -0.35).otherwise(0.0)
     total = F.when(mail == 1, F.greatest(total, F.lit(0.95))).otherwise(total)
-    same = F.when(person, m["person"]["norm"] == e["person"]["norm"]).otherwise(m["other"] == e["other"])
-    exact = same & (F.when(person, m["person"]["norm"]).otherwise(m["other"]) != "") & (mail >= 0) & (employer >= 0) & ~alone
+    if same is None:
+        same = F.when(person, m["person"]["norm"] == e["person"]["norm"]).otherwise(m["other"] == e["other"]) & (F.when(person, m["person"]["norm"]).otherwise(m["other"]) != "")
+    exact = same & (mail >= 0) & (employer >= 0) & ~alone
     floor = F.when(exact & ~person, 0.93).when(exact & both, 0.88).otherwise(0.0)
     total = F.when(blocked, 0.0).otherwise(scoring.clamp01(F.greatest(total, floor)))
     return F.struct(total.alias("total"), blocked.alias("blocked"), similar.alias("name"), mail.alias("email"), employer.alias("org"))
@@ -66,12 +89,26 @@ def verdict(total: Column, blocked: Column) -> Column:
 
 
 def scored_pairs(mentions: DataFrame, entities: DataFrame, cap: int | None = dims.CANDIDATE_CAP) -> DataFrame:
-    """(mention_id, entity_id, total, blocked, verdict) of all blocked pairs; names, mail, employer and title decide."""
+    """(mention_id, entity_id, total, blocked, verdict) of all blocked pairs.
+
+    Names, mail, employer and title decide, and where both sides have them: what is said about the mention (`context`)
+    against the entity's `dossier`, vectors (`embedding`), and shared `neighbours` (entity ids). Every distinct pair of
+    names is compared once, whatever the number of mentions that share it.
+    """
     f = lambda name: features(F.col(name), F.col("org"), F.col("title"))
-    m = mentions.select(F.col("id").alias("mention_id"), "entity_type", F.coalesce("is_first_name_only", F.lit(False)).alias("alone"), F.col("email").alias("m_email"), f("surface_form").alias("m"))
-    e = entities.select(F.col("id").alias("entity_id"), F.col("email").alias("e_email"), f("canonical_name").alias("e"))
-    p = candidates(mentions, entities, cap).join(m, "mention_id").join(e, "entity_id")
-    s = score(F.col("entity_type") == "person", F.col("m"), F.col("e"), F.col("alone"), F.col("m_email"), F.col("e_email"), F.lit(0.0), F.lit(0.0))
+    has = lambda d, c, kind: F.col(c) if c in d.columns else F.lit(None).cast(kind)
+    side = lambda d, words: (text.token_set(has(d, words, "string")).alias("words"), has(d, "embedding", "array<float>").alias("vector"), has(d, "neighbours", "array<string>").alias("neighbours"))
+    m = mentions.select(F.col("id").alias("mention_id"), (F.col("entity_type") == "person").alias("person"), F.col("surface_form").alias("typed"), F.coalesce("is_first_name_only", F.lit(False)).alias("alone"), F.col("email").alias("m_email"), f("surface_form").alias("m"), F.struct(*side(mentions, "context")).alias("m_more"))
+    e = entities.select(F.col("id").alias("entity_id"), F.col("email").alias("e_email"), names_of(entities).alias("names"), f("canonical_name").alias("e"), F.struct(*side(entities, "dossier")).alias("e_more"))
+    block = written(candidates(mentions, entities, cap), "candidates")
+    named = block.join(m.select("mention_id", "person", "typed"), "mention_id").join(e.select("entity_id", "names"), "entity_id").select("mention_id", "entity_id", "person", "typed", F.explode("names").alias("known"))
+    named = written(named, "named")
+    best = named.join(name_scores(named), ["person", "typed", "known"]).groupBy("mention_id", "entity_id").agg(F.max("similar").alias("similar"), F.max("same").alias("same"))
+    p = block.join(best, ["mention_id", "entity_id"]).join(m, "mention_id").join(e, "entity_id")
+    a, b = F.col("m_more.vector"), F.col("e_more.vector")
+    alike = F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), vectors.cosine(a, b)).otherwise(text.jaccard(F.col("m_more.words"), F.col("e_more.words")))
+    near = scoring.neighbour_overlap(F.col("m_more.neighbours"), F.col("e_more.neighbours"))
+    s = score(F.col("person"), F.col("m"), F.col("e"), F.col("alone"), F.col("m_email"), F.col("e_email"), F.coalesce(alike, F.lit(0.0)), F.coalesce(near, F.lit(0.0)), F.col("similar"), F.col("same"))
     return p.withColumn("s", s).select("mention_id", "entity_id", "shared", "s.*").withColumn("verdict", verdict(F.col("total"), F.col("blocked")))
 
 
@@ -150,6 +187,19 @@ def replay(runs: list[DataFrame], entities: DataFrame) -> tuple[DataFrame, DataF
     return links, entities
 
 
+def absorb_attributes(links: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, attributes): attributes (maps) of linked mentions laid over the entity's in mention order, nulls and empty
+    lists left out, the `manual_profile` of the entity (a JSON text under that key) last."""
+    m = mentions.select(F.col("id").alias("mention_id"), F.col("mention_seq").alias("seq"), "attributes")
+    kept = links.select("mention_id", F.col("entity_id").alias("id")).join(m, "mention_id").select("id", "seq", F.explode(jsonx.strip_empty(F.col("attributes"))).alias("k", "v"))
+    latest = kept.groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))  # one value a key, whatever the number of mentions
+    over = latest.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("over"))
+    none = F.create_map().cast("map<string,string>")
+    manual = F.coalesce(jsonx.as_map(F.element_at("attributes", "manual_profile")), none)
+    merged = jsonx.merge(jsonx.merge(F.col("attributes"), F.coalesce("over", none)), manual)
+    return entities.select("id", F.coalesce("attributes", none).alias("attributes")).join(over, "id", "left").select("id", merged.alias("attributes"))
+
+
 def absorb(links: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, canonical_name): the longest linked surface form becomes canonical, the first of equal ones."""
     m = mentions.select(F.col("id").alias("mention_id"), "surface_form", F.col("mention_seq").alias("seq"))
@@ -163,17 +213,20 @@ def latest_links(links: DataFrame) -> DataFrame:
 
 
 def apply_merges(merges: DataFrame) -> DataFrame:
-    """(loser, winner) with chains compressed: pointer doubling until every winner is final; cycles are refused."""
-    step = written(merges.groupBy("loser").agg(F.min("winner").alias("winner")), "merges")
-    for _ in range(40):
+    """(loser, winner) with chains compressed: pointer doubling until every winner is final; cycles are refused.
+
+    Each round at least doubles the reach of every row, so the rows still under way become fewer unless they go round.
+    """
+    step, left = written(merges.groupBy("loser").agg(F.min("winner").alias("winner")), "merges"), None
+    while True:
         up = step.select(F.col("loser").alias("winner"), F.col("winner").alias("higher"))
         new = written(step.join(up, "winner", "left").select("loser", F.coalesce("higher", "winner").alias("winner"), F.col("higher").isNotNull().alias("moved")), "merges")
         step = new.select("loser", "winner")
-        if not new.where("loser = winner").isEmpty():
-            raise ValueError("a merge cycle")
-        if new.where("moved").isEmpty():
+        before, left = left, new.where("moved").count()
+        if not left:
             return step
-    raise ValueError("a merge cycle")
+        if left == before or not new.where("loser = winner").isEmpty():
+            raise ValueError("a merge cycle")
 
 
 def merge_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ _TYPES = ", ".join(f"'{t}'" for t in dims.TYPES)
 _PRIOR = "CASE relationship_type " + " ".join(f"WHEN '{t}' THEN {p}" for t, _, p, _ in dims.RELATIONSHIPS) + f" ELSE {dims.UNKNOWN_PRIOR} END"
 _LABEL = "CASE predicate " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, n, _, _ in dims.RELATIONSHIPS) + " ELSE predicate END"
 _WEIGHT = "CASE explicitness WHEN 'stated' THEN 1.0::DOUBLE WHEN 'reported' THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END"
-_ENTITY = "concat_ws(':', left(m.entity_type, 1), left(s.workspace_id, 8), CASE WHEN trim(m.normalized) <> '' THEN trim(lower(m.normalized)) ELSE trim(lower(m.surface_form)) END)"
+_ENTITY = "concat_ws(':', left(m.entity_type, 1), s.workspace_id, CASE WHEN trim(m.normalized) <> '' THEN trim(lower(m.normalized)) ELSE trim(lower(m.surface_form)) END)"
 _LINKS = f"links AS (SELECT m.id AS mention_id, s.workspace_id, {_ENTITY} AS entity_id, m.entity_type, m.source_id FROM mentions m JOIN sources s ON s.id = m.source_id)"
 _LED = f"""{_LINKS},
 once AS (SELECT id, min(claim_no) AS claim_no FROM claims GROUP BY id),
@@ -712,8 +712,14 @@ def src17_entities(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(responses.decoded(F.col("text"))).alias("t"))
 
 
-@query("src19_new_sources", """WITH s AS (SELECT * FROM sources WHERE batch_id = 0), n AS (SELECT * FROM sources WHERE batch_id > 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, content_hash ORDER BY source_seq) AS k FROM n)
-SELECT source_seq FROM r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.workspace_id = r.workspace_id AND s.external_id = r.external_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.workspace_id = r.workspace_id AND s.content_hash = r.content_hash)""")
+_ROUND = """f{n} AS (SELECT * FROM l{n} QUALIFY (external_id IS NULL OR row_number() OVER (PARTITION BY workspace_id, external_id ORDER BY source_seq) = 1) AND (content_hash IS NULL OR row_number() OVER (PARTITION BY workspace_id, content_hash ORDER BY source_seq) = 1)),
+l{m} AS (SELECT * FROM l{n} WHERE source_seq NOT IN (SELECT source_seq FROM f{n}) AND NOT EXISTS (SELECT 1 FROM f{n} f WHERE f.workspace_id = l{n}.workspace_id AND f.external_id = l{n}.external_id) AND NOT EXISTS (SELECT 1 FROM f{n} f WHERE f.workspace_id = l{n}.workspace_id AND f.content_hash = l{n}.content_hash))"""
+_ROUNDS = 6  # the last list is empty on the tables, which the query reports if not
+
+
+@query("src19_new_sources", """WITH s AS (SELECT * FROM sources WHERE batch_id = 0), l0 AS (SELECT source_seq, workspace_id, external_id, content_hash FROM sources n WHERE batch_id > 0
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.workspace_id = n.workspace_id AND s.external_id = n.external_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.workspace_id = n.workspace_id AND s.content_hash = n.content_hash)),
+""" + ",\n".join(_ROUND.format(n=n, m=n + 1) for n in range(_ROUNDS)) + " " + " UNION ALL ".join(f"SELECT source_seq FROM f{n}" for n in range(_ROUNDS)) + f" UNION ALL SELECT -source_seq FROM l{_ROUNDS}")
 def src19_new_sources(spark, d):
     s = table(spark, d, "sources").select("source_seq", "batch_id", "workspace_id", "external_id", "content_hash")
     return store.new_sources(s.where("batch_id > 0"), s.where("batch_id = 0")).select("source_seq")
@@ -781,8 +787,8 @@ def _resolvable(spark, d):
     a = lambda k: jsonx.text_at(F.col("attributes"), k)
     s = table(spark, d, "sources").select(F.col("id").alias("source_id"), "workspace_id")
     seq = F.row_number().over(W.partitionBy("run_id").orderBy("local_ref"))
-    m = table(spark, d, "mentions").join(s, "source_id").select("id", "run_id", "workspace_id", "entity_type", "surface_form", "is_first_name_only", a("email").alias("email"), a("org").alias("org"), a("title").alias("title"), seq.alias("mention_seq"))
-    e = table(spark, d, "entity_candidates").select("id", "workspace_id", "entity_type", "canonical_name", "email", "org", "title")
+    m = table(spark, d, "mentions").join(s, "source_id").select("id", "run_id", "workspace_id", "entity_type", "surface_form", "is_first_name_only", F.col("disambiguation_context").alias("context"), a("email").alias("email"), a("org").alias("org"), a("title").alias("title"), seq.alias("mention_seq"))
+    e = table(spark, d, "entity_candidates").select("id", "workspace_id", "entity_type", "canonical_name", "email", "org", "title", "dossier", "aliases")
     return m, e
 
 
@@ -793,8 +799,10 @@ def _key_sql(table: str, name: str, ident: str, extra: str, email: str, org: str
   UNION SELECT id, ws, kind, 'e:' || lower(trim(e)) FROM p WHERE e <> '' UNION SELECT id, ws, kind, 'd:' || lower(string_split(e, '@')[2]) FROM p WHERE contains(e, '@') UNION SELECT id, ws, kind, 'o:' || {_ORG.format(c='o')} FROM p WHERE o <> '')"""
 
 
-_MENTION_KEYS = _key_sql("mentions m JOIN sources s ON s.id = m.source_id", "m.surface_form", "m.id", "s.workspace_id AS ws, m.entity_type AS kind", "m.attributes->>'email'", "m.attributes->>'org'")
-_CANDIDATE_KEYS = _key_sql("entity_candidates", "canonical_name", "id", "workspace_id AS ws, entity_type AS kind", "email", "org")
+_MENTION_KEYS = _key_sql("mentions m JOIN sources s ON s.id = m.source_id", "m.surface_form", "m.id", "s.workspace_id AS ws, CASE m.entity_type WHEN 'fund' THEN 'organization' ELSE m.entity_type END AS kind", "m.attributes->>'email'", "m.attributes->>'org'")
+_FAMILY = "CASE {c} WHEN 'fund' THEN 'organization' ELSE {c} END AS kind"
+_ALL_NAMES = "(SELECT id, workspace_id, entity_type, email, org, unnest(list_distinct(list_concat([canonical_name], list_filter(coalesce(aliases, []), lambda a: a IS NOT NULL AND trim(a) <> '' AND NOT contains(a, '@'))))) AS name FROM entity_candidates)"
+_CANDIDATE_KEYS = _key_sql(_ALL_NAMES, "name", "id", "workspace_id AS ws, " + _FAMILY.format(c="entity_type"), "email", "org")
 
 
 @query("join01_res_candidates", f"""WITH k AS {_MENTION_KEYS}, c AS {_CANDIDATE_KEYS}, j AS (SELECT k.id AS mention_id, c.id AS entity_id, count(*) AS shared FROM k JOIN c USING (ws, kind, key) GROUP BY ALL)
@@ -834,10 +842,10 @@ def res08_longest_form(spark, d):
     return links(spark, d).join(m, "mention_id").groupBy("entity_id").agg(F.max_by("surface_form", F.struct(F.length("surface_form"), "surface_form")).alias("longest"))
 
 
-@query("res06_aliases", f"WITH n AS (SELECT id, {_NAME.format(c='canonical_name')} AS n FROM entity_candidates WHERE entity_type = 'person') SELECT id AS entity_id, 'n:' || n AS key FROM n WHERE n <> ''")
+@query("res06_aliases", f"WITH c AS {_CANDIDATE_KEYS} SELECT DISTINCT id AS entity_id, key FROM c JOIN entity_candidates e USING (id) WHERE e.entity_type = 'person'")
 def res06_aliases(spark, d):
     _, e = _resolvable(spark, d)
-    return resolve.aliases(e.where("entity_type = 'person'")).where(F.col("key").startswith("n:")).select("entity_id", "key")
+    return resolve.aliases(e.where("entity_type = 'person'")).select("entity_id", "key")
 
 
 # --- graph --------------------------------------------------------------------------------------------------------
@@ -1066,9 +1074,11 @@ def top09_gra15_selection(spark, d):
     return x.select(F.when(F.col("src") == F.col("n"), F.col("dst")).otherwise(F.col("src")).alias("other"), "relationship_type", "strength").orderBy(F.desc("strength"), "other", "relationship_type").limit(4)
 
 
-@query("top12_completed", "SELECT row_id, row_number() OVER (PARTITION BY workspace_id ORDER BY exported_at DESC NULLS LAST, row_id) AS rank FROM granola_notes WHERE row_id % 3 = 0")
+@query("top12_completed", "SELECT id, row_number() OVER (PARTITION BY workspace_id ORDER BY updated_at DESC NULLS LAST, id) AS rank FROM entities WHERE status = 'merged'")
 def top12_completed(spark, d):
-    return table(spark, d, "granola_notes").where("row_id % 3 = 0").select("row_id", F.row_number().over(W.partitionBy("workspace_id").orderBy(F.desc_nulls_last("exported_at"), "row_id")).alias("rank"))
+    """What is settled, the last one first, by workspace."""
+    e = table(spark, d, "entities").where("status = 'merged'")
+    return e.select("id", F.row_number().over(W.partitionBy("workspace_id").orderBy(F.desc_nulls_last("updated_at"), "id")).alias("rank"))
 
 
 @query("win09_brd01_resolved_at", "SELECT row_id, 't' || row_id % 5 AS at FROM granola_notes")

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kithgraph.session import written
+
+#: What an arrival is known by.
+KEYS = ("external_id", "content_hash")
+
 
 def new_sources(arrivals: DataFrame, stored: DataFrame) -> DataFrame:
-    """Arrivals to insert: the first of each workspace and hash (by source_seq) whose external id and hash are not stored."""
-    first = W.partitionBy("workspace_id", "content_hash").orderBy("source_seq")
-    once = arrivals.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    by_id = stored.where(F.col("external_id").isNotNull()).select("workspace_id", "external_id").distinct()
-    by_hash = stored.select("workspace_id", "content_hash").distinct()
-    return once.join(by_id, ["workspace_id", "external_id"], "left_anti").join(by_hash, ["workspace_id", "content_hash"], "left_anti")
+    """Arrivals to insert, as if taken one by one by source_seq: those whose external id and hash are neither stored nor
+    inserted before them. Null ids and hashes match nothing.
+
+    All at once, round by round: what is first by both its id and its hash goes in, what shares one with it goes out.
+    """
+    without = lambda d, taken: reduce(lambda x, k: x.join(taken.where(F.col(k).isNotNull()).select("workspace_id", k).distinct(), ["workspace_id", k], "left_anti"), KEYS, d)
+    left = written(without(arrivals.select("source_seq", "workspace_id", *KEYS), stored), "arrivals")
+    chosen = None
+    while not left.isEmpty():
+        firsts = left
+        for k in KEYS:
+            first = W.partitionBy("workspace_id", F.coalesce(k, F.concat(F.lit("row "), F.col("source_seq").cast("string")))).orderBy("source_seq")
+            firsts = firsts.withColumn(f"_{k}", F.row_number().over(first))
+        taken = written(firsts.where(" AND ".join(f"_{k} = 1" for k in KEYS)).select(left.columns), "inserted")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        left = written(without(left.join(taken.select("source_seq"), "source_seq", "left_anti"), taken), "arrivals")
+    return arrivals.limit(0) if chosen is None else arrivals.join(chosen.select("source_seq"), "source_seq", "left_semi").dropDuplicates(["source_seq"])
 
 
 def sources_by_external_ids(sources: DataFrame, ids: DataFrame) -> DataFrame:

@@ -38,11 +38,10 @@ def ingest(notes: DataFrame, workspaces: DataFrame, target: str, checkpoint: str
         sources = read_json_notes(batch).withColumnRenamed("row_id", "source_seq")
         at = normalise_notes(batch.select("row_id", "workspace_id", "created_at", "createdat", "note_date"), workspaces).select(F.col("row_id").alias("source_seq"), F.timestamp_micros("utc_us").alias("_at"))
         sources = sources.join(at, "source_seq", "left").withColumn("occurred_at", F.coalesce("_at", "occurred_at")).drop("_at")
-        try:
-            stored = spark.read.schema(sources.schema).parquet(target)
-            stored.limit(1).count()
-        except Exception:
-            stored = sources.limit(0)
+        place = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)  # any other failure to read is one
+        columns = ["workspace_id", "external_id", "content_hash"]
+        stored = spark.read.schema(sources.schema).parquet(target).select(columns) if there else sources.select(columns).limit(0)
         new_sources(sources, stored).write.mode("append").parquet(target)
 
     return notes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

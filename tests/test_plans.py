@@ -205,6 +205,42 @@ def test_merges(spark):
     assert tags == ["Warm", "LP"]
 
 
+def test_odd_merge_cycles_and_long_chains_are_told_apart(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "loser string, winner string")
+    with pytest.raises(ValueError):
+        resolve.apply_merges(ring)
+    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(70)], "loser string, winner string")
+    assert {r["winner"] for r in resolve.apply_merges(chain).collect()} == {"070"}
+
+
+def test_context_neighbours_and_other_names_count(spark):
+    m = spark.createDataFrame([("m1", "w", "person", "Bob Quill", False, None, None, None, "leads grid storage research", ["e7", "e8"])], "id string, workspace_id string, entity_type string, surface_form string, is_first_name_only boolean, email string, org string, title string, context string, neighbours array<string>")
+    e = [("e1", "w", "person", "Robert Quill", ["Bob Quill", "bq@x.test"], None, None, None, "grid storage research", ["e7", "e8"])]
+    schema = "id string, workspace_id string, entity_type string, canonical_name string, aliases array<string>, email string, org string, title string, dossier string, neighbours array<string>"
+    full = resolve.scored_pairs(m, spark.createDataFrame(e, schema)).first()
+    plain = resolve.scored_pairs(m.drop("context", "neighbours"), spark.createDataFrame(e, schema).drop("aliases")).first()
+    assert full["name"] == 1.0 and plain["name"] < 1.0 and full["total"] >= 0.88 > plain["total"]
+    told = resolve.scored_pairs(m, spark.createDataFrame(e, schema).drop("aliases")).first()
+    overlap, context = 1 - math.exp(-2 / 1.5), 3 / 4
+    assert abs(told["total"] - plain["total"] - (0.2 * context + 0.15 * overlap) / 1.35) < 1e-9
+    fund = m.withColumn("entity_type", F.lit("fund")).withColumn("surface_form", F.lit("Acme"))
+    assert resolve.candidates(fund, spark.createDataFrame([("e2", "w", "organization", "Acme", None, None, None, None, None, None)], schema)).count() == 1
+
+
+def test_attributes_are_absorbed_with_the_manual_profile_last(spark):
+    links = spark.createDataFrame([("m1", "e"), ("m2", "e")], "mention_id string, entity_id string")
+    m = spark.createDataFrame([("m1", 1, {"title": "CEO", "org": "A", "email": None}), ("m2", 2, {"title": "Chair"})], "id string, mention_seq int, attributes map<string,string>")
+    e = spark.createDataFrame([("e", {"title": "old", "email": "a@x", "manual_profile": '{"org": "M"}'}), ("f", None)], "id string, attributes map<string,string>")
+    got = {r["id"]: r["attributes"] for r in resolve.absorb_attributes(links, m, e).collect()}
+    assert {k: got["e"][k] for k in ("title", "org", "email")} == {"title": "Chair", "org": "M", "email": "a@x"} and not got["f"]
+
+
+def test_workspaces_with_a_common_prefix_share_no_entity(spark):
+    src = spark.createDataFrame([("s1", "12345678-a"), ("s2", "12345678-b")], "id string, workspace_id string")
+    m = spark.createDataFrame([("m1", "s1"), ("m2", "s2")], "id string, source_id string").selectExpr("*", "'person' AS entity_type", "'ann lee' AS normalized", "'Ann Lee' AS surface_form")
+    assert ledger.exact_links(m, src).select("entity_id").distinct().count() == 2
+
+
 def test_search(spark):
     q = search.heuristic_plan(spark.createDataFrame([("Can you introduce me to allocators?",), ("pension board members",)], "question string")).collect()
     assert [(r["intent"], r["max_hops"], r["min_strength"]) for r in q] == [("find_people", 4, 0.0), ("find_people", 4, 0.0)] or q[0]["intent"] in ("find_path", "find_people")
@@ -244,6 +280,8 @@ def test_responses():
 def test_stores(spark):
     s = spark.createDataFrame([(1, "w", "x", "h1"), (2, "w", None, "h2"), (3, "w", "x", "h3"), (4, "w", None, "h1"), (5, "w", "y", "h5"), (6, "w", "z", "h5")], "source_seq long, workspace_id string, external_id string, content_hash string")
     assert [r["source_seq"] for r in store.new_sources(s.where("source_seq > 1"), s.where("source_seq = 1")).orderBy("source_seq").collect()] == [2, 5]
+    again = spark.createDataFrame([(1, "w", "e1", "h1"), (2, "w", "e1", "h2"), (3, "w", "e2", "h2"), (4, "w", None, None), (5, "w", None, None), (6, "w", "e2", "h9")], "source_seq long, workspace_id string, external_id string, content_hash string")
+    assert [r["source_seq"] for r in store.new_sources(again, again.limit(0)).orderBy("source_seq").collect()] == [1, 3, 4, 5]
     b = spark.createDataFrame([("w", 3, "old"), ("v", 1, "old")], "workspace_id string, revision int, document string")
     after, conflicts = store.replace_board(b, spark.createDataFrame([("w", 3, "new"), ("v", 0, "new")], "workspace_id string, revision int, document string"))
     assert {(r["workspace_id"], r["revision"], r["document"]) for r in after.collect()} == {("w", 4, "new"), ("v", 1, "old")}

@@ -58,6 +58,11 @@ def test_forms(text, want):
     assert read(text) == want
 
 
+def test_long_texts_are_read():
+    assert read("2024-03-05" + " " * 120 + "10:00:00 UTC") == us(2024, 3, 5, hours=10)
+    assert read(" ".join(["2024-03-05"] * 400)) is None
+
+
 def test_slash_order_follows_the_workspace():
     assert read("03/04/2024 10:00", "UTC", "mdy") == us(2024, 3, 4, 10)
     assert read("03/04/2024 10:00", "UTC", "dmy") == us(2024, 4, 3, 10)
