@@ -177,14 +177,15 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = RANKS, total_
         more = F.when(part > 1e-9, F.coalesce("more", F.lit(0))).otherwise(0)
         return rows.join(F.broadcast(chosen), ["likeliest", "cell"], "left").select("doc_id", "source", "likeliest", "tokens", (base + more).cast("int").alias("copies"), "member").where("copies > 0")
 
-    # texts without a source first; the others' rates then take one more projected step with those copies held fixed
+    # Texts without a source are rounded first. The fitted rates of the others then take one more projected step with those
+    # copies held fixed: against a residual of one source only, its step is the residual over the tokens of that source.
     soft = written(whole(rated.where(F.col("source").isNull()), None), "soft")
-    fixed, held = np.zeros(n), np.zeros(n)
+    fixed, held, fitted = np.zeros(n), np.zeros(n), np.zeros(n)
     for r in soft.select((F.col("tokens") * F.col("copies")).alias("t"), F.posexplode("member").alias("i", "p")).groupBy("i").agg(F.sum(F.col("t") * F.col("p")).alias("t")).collect():  # one row a source
         fixed[r["i"]] = r["t"]
-    for r in rated.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("t")).collect():  # one row a source
-        held[sources.index(r["source"])] = r["t"]
-    last = np.clip((goal - fixed) / np.maximum(held, 1), 0, caps)
+    for r in rated.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("t"), F.avg("rate").alias("rate")).collect():  # one row a source
+        held[sources.index(r["source"])], fitted[sources.index(r["source"])] = r["t"], r["rate"]
+    last = np.clip(fitted - (fixed + held * fitted - goal) / np.maximum(held, 1), 0, caps)
     rates = F.create_map(*[F.lit(x) for s, r in zip(sources, last) for x in (s, float(r))])
     hard = rated.where(F.col("source").isNotNull()).withColumn("rate", F.element_at(rates, F.col("source")))
     return whole(hard, (last - np.floor(last)) * held).unionByName(soft)

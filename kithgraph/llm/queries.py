@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kithgraph.llm import arrivals, mixing, names, neighbours, packing, pii, quality, survivors, transcripts
 from kithgraph.session import table
 
@@ -35,6 +37,19 @@ def p6_found(spark, sf_dir):
     return transcripts.speaker_turns(notes, sources, with_text=False).select("origin", "row_key", "turn_no", "speaker")
 
 
+def p5_masked(spark, sf_dir):
+    """(origin, row_key, masked) of every text, its personal data replaced by typed placeholders."""
+    s = table(spark, sf_dir, "sources").select(F.lit("sources").alias("origin"), F.col("source_seq").alias("row_key"), pii.mask_text(F.col("body")).alias("masked"))
+    return s.unionByName(table(spark, sf_dir, "claims").select(F.lit("claims").alias("origin"), F.col("claim_no").alias("row_key"), pii.mask_text(F.col("quote")).alias("masked")))
+
+
+def p6_turns(spark, sf_dir):
+    """(origin, row_key, turn_no, speaker, text): the cleaned turns of both tables."""
+    notes = table(spark, sf_dir, "granola_notes").select("row_id", "transcript", "attendees", "participants")
+    sources = table(spark, sf_dir, "sources").select("source_seq", "body", "attendee_hints")
+    return transcripts.speaker_turns(notes, sources)
+
+
 def p7_found(spark, sf_dir):
     """The surviving value of each field of each set of merged entities."""
     return survivors.survivors(table(spark, sf_dir, "entities"))
@@ -119,5 +134,5 @@ SELECT doc_id, w AS n_words, round(l::DOUBLE / nullif(w, 0), 6) AS mean_word_len
 FROM k LEFT JOIN line USING (doc_id) LEFT JOIN word USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_masked, p6_found, p6_turns, p7_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_statistics)}
 ORACLES: dict[str, str] = {"p7_found": P7_SQL, "p10_statistics": P10_STATISTICS_SQL}

@@ -48,7 +48,8 @@ plain     <- @label says @text
 FORMS = {k: LINES.pattern(k) for k in ("timing", "bold", "stamped", "voice", "marked", "header", "plain")}
 NOTE = LINES.pattern("note")
 
-# Hesitation sounds, and the phrases also dropped from clean text.
+# Words of sound notes, hesitation sounds, and the phrases also dropped from clean text.
+SOUNDS = {"laughter", "laughs", "laughing", "applause", "crosstalk", "inaudible", "silence", "music", "cough", "coughs", "coughing", "overlapping", "noise", "background", "typing", "pause", "sigh", "sighs", "unintelligible", "indistinct", "chuckles", "door", "phone", "ringing", "static"}
 HESITATION = regex.compile(r"(?i)\b(?:u+h+m*|u+m+|e+r+m*|h+m+|a+h+|o+h+|e+h+|m+|mm?[- ]?hm+|mhm+|uh[- ]?huh|huh)\b")
 PHRASES = regex.compile(r"(?i),?\s*\b(?:you know|i mean|sort of|like)\b(?:,|\.\.\.)+")
 BANNERS = {"webvtt", "transcript generated automatically", "recording started", "recording stopped", "recording ended", "end of transcript"}
@@ -90,17 +91,19 @@ class Cast:
         return self.keys.get(folded(label).strip(" .")) or self.keys.get(folded(label))
 
 
+def _is_sound(note: str) -> bool:
+    """Sound notes are tags, or written in small letters, or made of sound words in any case; bracketed names and figures are speech."""
+    return note[0] == "<" or not regex.search(r"\p{Lu}", note) or SOUNDS.issuperset(regex.findall(r"\p{L}+", note.lower()))
+
+
 def _no_notes(text: str) -> str:
-    """Sound notes are written in small letters; bracketed names and figures are speech."""
-    return NOTE.sub(lambda m: m[0] if regex.search(r"[\p{Lu}]", m[0]) and m[0][0] != "<" else " ", text)
+    return NOTE.sub(lambda m: " " if _is_sound(m[0]) else m[0], text)
 
 
 def is_noise(text: str) -> bool:
     """Only hesitation sounds or sound notes."""
     if not _LETTER.search(text):
         return True
-    if len(text) > 120:
-        return False
     return not _LETTER.search(HESITATION.sub("", _no_notes(text)))
 
 
@@ -153,16 +156,18 @@ def _utterances(transcript: str, cast: Cast, tied: dict[int, str]) -> list[tuple
             m = FORMS["voice"].match(line)
         elif head == ">":
             m = FORMS["marked"].match(line)
-        elif line[-1].isdigit() and len(line) < 80 and (m := FORMS["header"].match(line)):
+        elif line[-1].isdigit() and (m := FORMS["header"].match(line)):
             found = _label(m, cast, tied)
             if found is not None:
                 at, who, pending = _seconds(m["stamp"]), found, True
                 continue
             m = None
-        if m is None and ":" in line[:64]:
+        if m is None and ":" in line:
             m = FORMS["plain"].match(line)
         if m is not None:
             found = _label(m, cast, tied)
+            if found is None and head in "*<" and m["label"].strip():  # marked as a label, whoever it names
+                found = m["label"].strip()
             if found is not None:
                 parts = m.groupdict()
                 at = _seconds(parts["stamp"]) if parts.get("stamp") else at if pending else None
