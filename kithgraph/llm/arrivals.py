@@ -168,12 +168,18 @@ def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The candidate pairs (earlier, later, ...) within the radius; a pair's hot side is salted. `bags` has seq and bag."""
+    """The candidate pairs (earlier, later, ...) within the radius; a pair's hot side is salted. `bags` has seq, n, coarse
+    and bag. Lengths and coarse pivot distances are compared before any bag is."""
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
+    side = lambda name: bags.select(F.col("seq").alias(name), F.struct("n", "coarse").alias(f"_{name}"))
+    bound = F.greatest("_earlier.n", "_later.n") * RADIUS
+    apart = F.aggregate(F.zip_with("_earlier.coarse", "_later.coarse", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = salted_join(pairs, side("earlier"), "earlier").join(side("later"), "later").where((F.abs(F.col("_earlier.n") - F.col("_later.n")) <= bound) & (apart <= bound)).select(pairs.columns)
+    near = written(near, "pairs")
     bag = lambda side, name: bags.select(F.col("seq").alias(side), F.col("bag").alias(name))
-    with_bags = salted_join(pairs, bag("earlier", "x"), "earlier").join(bag("later", "y"), "later")
+    with_bags = salted_join(near, bag("earlier", "x"), "earlier").join(bag("later", "y"), "later")
     return with_bags.where(bag_distance("x", "y") <= RADIUS).select(pairs.columns)
 
 
@@ -181,7 +187,7 @@ class History:
     """What has been accepted: an append-only index of keys, bucketed by key, and the bags, bucketed by arrival.
 
     Kinds of keys: 0 exact (ids, hashes, equal bags), 1 the lead groups, 2 all groups. A row of the index holds the
-    arrival, its root, its length and its coarse pivot distances.
+    arrival, its root and its length; lengths, coarse pivot distances and bags are kept once an arrival.
     """
 
     def __init__(self, buckets: int = BUCKETS):
@@ -194,8 +200,8 @@ class History:
         return None if self.index is None else self.index.where(F.col("kind") == kind).join(keys.select("key").distinct(), "key", "left_semi").drop("kind")
 
     def append(self, index: DataFrame, bags: DataFrame) -> None:
-        self.index = append_bucketed(index.select("key", "seq", "root", "n", "coarse", "kind"), self.name, "key", self.buckets, "kind")
-        self.bags = append_bucketed(bags.select("seq", "bag"), f"{self.name}_bags", "seq", self.buckets)
+        self.index = append_bucketed(index.select("key", "seq", "root", "n", "kind"), self.name, "key", self.buckets, "kind")
+        self.bags = append_bucketed(bags.select("seq", "n", "coarse", "bag"), f"{self.name}_bags", "seq", self.buckets)
 
 
 def _roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,17 +235,15 @@ def _firsts(keyed: DataFrame, stored: DataFrame | None, *carry: Column) -> DataF
 def _candidates(new: DataFrame, known: DataFrame) -> DataFrame:
     """(earlier, later, root): pairs that share a key, may be within the radius, and whose earlier one has a lesser root.
 
-    Both sides hold (key, seq, root, n, coarse, is_new). Rows that meet only rows of their own root, as a family of
-    near copies does, are left out key by key before the join.
+    Both sides hold (key, seq, root, n, is_new). The roots that meet under a key are found first by a partial
+    aggregation; keys of one root only, as most keys and those of a family of near copies are, take no part in the join.
     """
-    low = known.groupBy("key").agg(F.min("root").alias("low"))
-    later = new.join(low, "key").where("root > low").drop("low")
-    later = later.select("key", F.col("seq").alias("later"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("coarse").alias("c_b"))
-    high = later.groupBy("key").agg(F.max("root_b").alias("high"))
-    earlier = known.join(high, "key").where("root < high").drop("high")
+    both = new.select("key", F.lit(None).cast("long").alias("low"), F.col("root").alias("high")).unionByName(known.select("key", F.col("root").alias("low"), F.lit(None).cast("long").alias("high")))
+    shared = written(both.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"), "shared")
+    later = new.join(shared, "key").where("root > low").select("key", F.col("seq").alias("later"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    earlier = known.join(shared, "key").where("root < high").select("key", "seq", "root", "n", "is_new")
     bound = F.greatest("n", "n_b") * RADIUS
-    apart = F.aggregate(F.zip_with("coarse", "c_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = earlier.join(later, "key").where((F.col("seq") < F.col("later")) & (F.col("root") < F.col("root_b")) & (F.abs(F.col("n") - F.col("n_b")) <= bound) & (apart <= bound))
+    pairs = earlier.join(later, "key").where((F.col("seq") < F.col("later")) & (F.col("root") < F.col("root_b")) & (F.abs(F.col("n") - F.col("n_b")) <= bound))
     return pairs.select(F.col("seq").alias("earlier"), "later", F.when(~F.col("is_new"), F.col("root")).alias("root")).distinct()
 
 
@@ -254,19 +258,24 @@ def accept(history: History, rows: DataFrame) -> DataFrame:
     # one row of each bag that is not stored; its near copies are looked for
     reps = firsts.where("bag AND is_new").select(F.col("earlier").alias("seq"))
     kept = written(rows.join(reps, "seq", "left_semi").dropDuplicates(["seq"]).select("seq", "ws", "n", "keys", "leads", "coarse", "bag"), "kept")
-    bags = kept.select("seq", "bag") if history.bags is None else kept.select("seq", "bag").unionByName(history.bags)
+    bags = kept.select("seq", "n", "coarse", "bag")
+    bags = bags if history.bags is None else bags.unionByName(history.bags)
     lead = kept.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key"))
     leads = written(_firsts(lead, history.lookup(lead, 1)), "leads")
     tied = _spread(lead.withColumnRenamed("seq", "later"), leads.select("key", "earlier", "root"), "key").where("earlier < later").select("earlier", "later", "root").distinct()
     edges = written(edges.unionByName(verified(tied, bags)), "edges")
     roots = _roots(rows, edges)
 
-    grouped = written(kept.select("seq", "n", "coarse", F.explode("keys").alias("key"), "ws").withColumn("key", F.xxhash64("ws", "key")).drop("ws"), "groups")
-    stored = history.lookup(grouped, 2)
+    def grouped(roots: DataFrame) -> DataFrame:
+        """The group keys of the new bags with their present roots, which are joined before the keys are spread out."""
+        rows = kept.select("seq", "ws", "n", "keys").join(roots, "seq").select("seq", "root", "n", "ws", F.explode("keys").alias("key"))
+        return rows.select(F.xxhash64("ws", "key").alias("key"), "seq", "root", "n", F.lit(True).alias("is_new"))
+
+    stored = history.lookup(grouped(roots), 2)
     stored = None if stored is None else written(stored, "stored").withColumn("is_new", F.lit(False))
     changed = None
     while True:
-        new = grouped.join(roots, "seq").withColumn("is_new", F.lit(True))
+        new = grouped(roots)
         known = new if changed is None else new.join(changed, "seq", "left_semi")
         pairs = _candidates(new, known if changed is not None or stored is None else known.unionByName(stored))
         more = written(verified(pairs, bags), "near")
@@ -275,8 +284,8 @@ def accept(history: History, rows: DataFrame) -> DataFrame:
         edges, before = edges.unionByName(more), roots
         roots = _roots(rows, edges)
         changed = written(roots.join(before.withColumnRenamed("root", "old"), "seq").where("root < old").select("seq"), "changed")
-    rooted = lambda d: d.where("is_new").drop("root").withColumnRenamed("earlier", "seq").join(roots, "seq").select("key", "seq", "root", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<smallint>").alias("coarse"))
-    index = rooted(firsts).withColumn("kind", F.lit(0)).unionByName(rooted(leads).withColumn("kind", F.lit(1))).unionByName(grouped.join(roots, "seq").withColumn("kind", F.lit(2)))
+    rooted = lambda d: d.where("is_new").drop("root").withColumnRenamed("earlier", "seq").join(roots, "seq").select("key", "seq", "root", F.lit(None).cast("int").alias("n"))
+    index = rooted(firsts).withColumn("kind", F.lit(0)).unionByName(rooted(leads).withColumn("kind", F.lit(1))).unionByName(grouped(roots).drop("is_new").withColumn("kind", F.lit(2)))
     history.append(index, kept)
     return roots.where("root < seq").select(F.col("root").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"))
 

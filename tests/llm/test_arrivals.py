@@ -73,52 +73,42 @@ def _pairs(df):
     return {(x["accepted_seq"], x["duplicate_seq"]) for x in df.collect()}
 
 
-def test_batches_one_by_one_find_the_same(spark):
+def test_batches_one_by_one_find_what_all_at_once_find(spark):
+    """Plain repeats; a chain a - b - c whose ends are beyond the radius; a family that drifts, so that rows tied to
+    different members meet; and long texts, each in a workspace of its own, as one batch and as three."""
     rows, want = _rows(3)
-    df = spark.createDataFrame(rows, SCHEMA)
-    history, found = History(4), set()
-    for low, high in ((0, 6), (6, 10), (10, 13)):
-        found |= _pairs(append_batch(history, df.where(f"source_seq > {low} AND source_seq <= {high}")))
-    assert found == want
-    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 4).cast("int")))) == want
-
-
-def test_a_chain_has_one_root_in_batches_and_at_once(spark):
+    rows, want = [(i * 10, *rest) for i, *rest in rows], {(i * 10, j * 10) for i, j in want}
     a = [f"word{i}" for i in range(300)]
     b = [f"new{i}" if i < 10 else w for i, w in enumerate(a)]  # 0.07 apart
     c = [f"new{i}" if 9 < i < 20 else w for i, w in enumerate(b)]  # 0.07 from b, 0.13 from a
-    df = spark.createDataFrame([(i + 1, "w", None, None, _body(t), None) for i, t in enumerate((a, b, c))], SCHEMA)
-    assert _pairs(first_arrivals(written(pivot_table(df), "chain"))) == {(1, 2), (1, 3)}
-    assert _pairs(repeats(df.withColumn("batch_id", df["source_seq"].cast("int")), one_by_one=True)) == {(1, 2), (1, 3)}
-
-
-def test_two_families_that_touch_through_tied_rows(spark):
+    rows += [(n, "c", None, None, _body(t), None) for n, t in ((11, a), (51, b), (101, c))]
     r = random.Random(4)
-    base = _talk(r, 200)
-    talks = [base]
-    for _ in range(24):  # a family that drifts, so that rows tied to different members meet
+    talks = [_talk(r, 200)]
+    for _ in range(24):
         talks.append(_changed(r, r.choice(talks[-4:]), 6))
-    df = spark.createDataFrame([(i, "w", None, None, _body(t), None) for i, t in enumerate(talks)], SCHEMA)
+    rows += [(2 + 5 * i, "d", None, None, _body(t), None) for i, t in enumerate(talks)]
     root = {}
     for j, y in enumerate(talks):
         near = [root[i] for i in range(j) if sum(abs(talks[i].count(w) - y.count(w)) for w in set(talks[i]) | set(y)) <= RADIUS * len(y)]
         root[j] = min(near, default=j)
-    want = {(i, j) for j, i in root.items() if i < j}
-    assert _pairs(first_arrivals(written(pivot_table(df), "drift"))) == want
-    assert _pairs(repeats(df.withColumn("batch_id", (df["source_seq"] / 13).cast("int")), one_by_one=True)) == want
-
-
-def test_long_texts_have_more_groups_than_the_radius(spark):
-    for n in (40, 741, 10_240, 20_000, 50_000, 400_000):
-        for level in levels(n):
-            assert RADIUS * n < groups_of(level) <= pivots_of(level) or n > 1.25**level
-    r = random.Random(2)
     long = [f"w{r.randint(0, 9000)}" for _ in range(50_000)]
     near = list(long)
     for i in r.sample(range(50_000), 2_300):
         near[i] = f"v{i}"
-    df = spark.createDataFrame([(1, "w", None, None, _body(long, per=400), None), (2, "w", None, None, _body(near, per=400), None)], SCHEMA)
-    assert _pairs(repeats(df)) == {(1, 2)}
+    rows += [(13, "l", None, None, _body(long, per=400), None), (103, "l", None, None, _body(near, per=400), None)]
+    want |= {(11, 51), (11, 101), (13, 103)} | {(2 + 5 * i, 2 + 5 * j) for j, i in root.items() if i < j}
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = lambda d: {(x["accepted_seq"], x["duplicate_seq"]) for x in d.collect()}
+    assert pairs(first_arrivals(written(pivot_table(df), "all"))) == want
+    assert pairs(repeats(df.selectExpr("*", "CAST(source_seq / 50 AS INT) AS batch_id"), one_by_one=True)) == want
+    history = History(4)
+    assert pairs(append_batch(history, df.where("source_seq < 60 AND workspace_id = 'c'"))) | pairs(append_batch(history, df.where("source_seq > 60 AND workspace_id = 'c'"))) == {(11, 51), (11, 101)}
+
+
+def test_there_are_more_groups_than_the_radius_at_every_length():
+    for n in (40, 741, 10_240, 20_000, 50_000, 400_000):
+        for level in levels(n):
+            assert groups_of(level) <= pivots_of(level) and RADIUS * 1.25**level < groups_of(level)
 
 
 def test_words():
