@@ -935,6 +935,15 @@ def gra09_brd10_blockers(spark, d):
     return boards.blockers(items)
 
 
+@query("gra11_connect", "SELECT * FROM (VALUES ('1', '1', 'self'), ('1', '999999999', 'missing'), ('2', '4', 'duplicate'), ('4', '2', 'cycle'), ('3', '4', 'ok')) t(source, target, answer)")
+def gra11_connect(spark, d):
+    """Whether one task may wait for another, on the tasks of `_tasks`: each waits for the one of half its key."""
+    k = F.col("p_partkey")
+    items = written(table(spark, d, "part").select(k.cast("string").alias("id"), F.when(k > 1, F.array(F.expr("CAST(p_partkey div 2 AS STRING)"))).otherwise(F.array().cast("array<string>")).alias("depends_on")), "items")
+    asked = [("1", "1"), ("1", "999999999"), ("2", "4"), ("4", "2"), ("3", "4")]
+    return spark.createDataFrame([(s, t, boards.connect(items, s, t) or "ok") for s, t in asked], "source string, target string, answer string")
+
+
 @query("brd06_gra08_errors", "SELECT 'missing target' AS error, p_partkey AS id FROM part WHERE p_partkey % 10 = 1 AND p_partkey > 1")
 def brd06_errors(spark, d):
     need = F.when((F.col("p_partkey") % 10 == 1) & (F.col("p_partkey") > 1), F.array(-F.col("p_partkey"))).otherwise(F.array(F.col("p_partkey")))
