@@ -166,8 +166,6 @@ def _utterances(transcript: str, cast: Cast, tied: dict[int, str]) -> list[tuple
             m = FORMS["plain"].match(line)
         if m is not None:
             found = _label(m, cast, tied)
-            if found is None and head in "*<" and m["label"].strip():  # marked as a label, whoever it names
-                found = m["label"].strip()
             if found is not None:
                 parts = m.groupdict()
                 at = _seconds(parts["stamp"]) if parts.get("stamp") else at if pending else None
