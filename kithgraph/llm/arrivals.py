@@ -197,7 +197,7 @@ class History:
 
     def lookup(self, keys: DataFrame, kind: int) -> DataFrame | None:
         """Stored rows of a kind with one of the keys."""
-        return None if self.index is None else self.index.where(F.col("kind") == kind).join(keys.select("key").distinct(), "key", "left_semi").drop("kind")
+        return None if self.index is None else self.index.where(F.col("kind") == kind).join(keys.select("key"), "key", "left_semi").drop("kind")
 
     def append(self, index: DataFrame, bags: DataFrame) -> None:
         self.index = append_bucketed(index.select("key", "seq", "root", "n", "kind"), self.name, "key", self.buckets, "kind")
@@ -232,16 +232,18 @@ def _firsts(keyed: DataFrame, stored: DataFrame | None, *carry: Column) -> DataF
     return first.join(known, "key", "left").select("*", F.coalesce("s.seq", "f").alias("earlier"), F.col("s.root").alias("root"), F.col("s").isNull().alias("is_new")).drop("f", "s")
 
 
-def _candidates(new: DataFrame, known: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame) -> DataFrame:
     """(earlier, later, root): pairs that share a key, may be within the radius, and whose earlier one has a lesser root.
 
-    Both sides hold (key, seq, root, n, is_new). The roots that meet under a key are found first by a partial
-    aggregation; keys of one root only, as most keys and those of a family of near copies are, take no part in the join.
+    `rows` holds (key, seq, root, n, is_new, early); new ones may be later, `early` ones earlier. The roots that meet
+    under a key are found first by a partial aggregation over every row once; keys of one root only, as most keys and
+    those of a family of near copies are, take no part in the join, whose both sides are picked from one stored table.
     """
-    both = new.select("key", F.lit(None).cast("long").alias("low"), F.col("root").alias("high")).unionByName(known.select("key", F.col("root").alias("low"), F.lit(None).cast("long").alias("high")))
-    shared = written(both.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"), "shared")
-    later = new.join(shared, "key").where("root > low").select("key", F.col("seq").alias("later"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    earlier = known.join(shared, "key").where("root < high").select("key", "seq", "root", "n", "is_new")
+    met = rows.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("root"))).alias("low"), F.max(F.when(F.col("is_new"), F.col("root"))).alias("high"))
+    shared = written(met.where("low < high"), "shared")
+    shared = written(rows.join(shared, "key").where("is_new AND root > low OR early AND root < high"), "shared")
+    later = shared.where("is_new AND root > low").select("key", F.col("seq").alias("later"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    earlier = shared.where("early AND root < high").select("key", "seq", "root", "n", "is_new")
     bound = F.greatest("n", "n_b") * RADIUS
     pairs = earlier.join(later, "key").where((F.col("seq") < F.col("later")) & (F.col("root") < F.col("root_b")) & (F.abs(F.col("n") - F.col("n_b")) <= bound))
     return pairs.select(F.col("seq").alias("earlier"), "later", F.when(~F.col("is_new"), F.col("root")).alias("root")).distinct()
@@ -272,12 +274,17 @@ def accept(history: History, rows: DataFrame) -> DataFrame:
         return rows.select(F.xxhash64("ws", "key").alias("key"), "seq", "root", "n", F.lit(True).alias("is_new"))
 
     stored = history.lookup(grouped(roots), 2)
-    stored = None if stored is None else written(stored, "stored").withColumn("is_new", F.lit(False))
+    stored = None if stored is None else written(stored, "stored")
     changed = None
     while True:
-        new = grouped(roots)
-        known = new if changed is None else new.join(changed, "seq", "left_semi")
-        pairs = _candidates(new, known if changed is not None or stored is None else known.unionByName(stored))
+        if changed is None:
+            spread = grouped(roots) if stored is None else grouped(roots).unionByName(stored.withColumn("is_new", F.lit(False)))
+            spread = spread.withColumn("early", F.lit(True))
+        else:  # only what shares a key with a row whose root has changed
+            touched = grouped(roots.join(changed, "seq", "left_semi")).select("key").distinct()
+            spread = written(grouped(roots).join(touched, "key", "left_semi"), "touched").join(changed.withColumn("early", F.lit(True)), "seq", "left")
+            spread = spread.withColumn("early", F.coalesce("early", F.lit(False)))
+        pairs = _candidates(spread)
         more = written(verified(pairs, bags), "near")
         if more.isEmpty():
             break

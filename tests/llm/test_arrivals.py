@@ -124,3 +124,15 @@ def test_a_large_family_of_near_copies(spark):
     rows += [(5000, "w", None, None, _body(_changed(r, other, 2)), None)]
     got = {(x["accepted_seq"], x["duplicate_seq"]) for x in repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(0, 10 + i) for i in range(1200)} | {(1, 5000)}
+
+
+def test_every_row_is_spread_once_to_find_shared_keys(spark, monkeypatch):
+    """Old and new rows that meet, rows of one root that don't; every row enters the aggregation and the join once."""
+    from kithgraph.llm import arrivals
+
+    stored = []
+    monkeypatch.setattr(arrivals, "written", lambda df, label, *p: stored.append(df) or written(df, label, *p))
+    rows = [(1, 10, 10, 100, False, True), (1, 20, 20, 100, True, True), (1, 30, 30, 200, True, True), (2, 20, 20, 100, True, True), (2, 21, 20, 100, True, True), (3, 40, 40, 100, True, False), (3, 50, 50, 100, True, True), (3, 60, 60, 101, True, False)]
+    pairs = arrivals._candidates(spark.createDataFrame(rows, "key long, seq long, root long, n int, is_new boolean, early boolean"))
+    assert {tuple(r) for r in pairs.collect()} == {(10, 20, 10), (50, 60, None)}
+    assert [d._jdf.queryExecution().optimizedPlan().collectLeaves().size() for d in stored] == [1, 2]
