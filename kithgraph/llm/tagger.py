@@ -165,30 +165,35 @@ class Tagger:
         At the places `inside` (B, T) words no piece may begin or end: the tag before goes on.
         """
         t_n, b, k = e.shape
-        score, back = e[0] + self.p["s"], np.zeros((t_n, b, k), np.int8)
-        ends = np.where((lengths == 1)[:, None], score, -np.inf)
-        free = np.ascontiguousarray(self.p["t"].T)
-        if inside is not None:
-            tag = np.arange(k)
-            goes_on = (tag[:, None] == tag) & ((tag == 0) | (tag % 2 == 0)) | ((tag[None, :] > 0) & (tag[None, :] % 2 == 0) & (tag[:, None] == tag[None, :] - 1))
-            held = np.where(goes_on, self.p["t"], -1e4).T.astype(np.float32)
+        t0, rows = self.p["t"], np.arange(b)
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # texts lie side by side, so that every maximum is taken over whole rows
+        scores = np.empty((t_n, k, b), np.result_type(e, t0))
+        scores[0] = e[0] + self.p["s"][:, None]
+        to, tag = t0[:, :, None], np.arange(k)
+        goes_on = (tag[:, None] == tag) & ((tag == 0) | (tag % 2 == 0)) | ((tag[None, :] > 0) & (tag[None, :] % 2 == 0) & (tag[:, None] == tag[None, :] - 1))
+        held = np.where(goes_on, t0, -1e4).astype(np.float32)
+        stay, enter = held.diagonal()[:, None], np.r_[np.float32(-1e4), held.diagonal(1)][:, None]
+
         for t in range(1, t_n):
-            step = free[None] if inside is None else np.where(inside[:, t, None, None], held[None], free[None])
-            every = score[:, None, :] + step
-            best = every.argmax(2)
-            back[t] = best
-            score = np.take_along_axis(every, best[:, :, None], 2)[:, :, 0] + e[t]
-            done = lengths == t + 1
-            if done.any():
-                ends[done] = score[done]
+            score = scores[t - 1]
+            if inside is None:
+                scores[t] = (score[:, None] + to).max(0) + e[t]
+                continue
+            free = np.flatnonzero(~inside[:, t])
+            best = score + stay  # inside a word only these two tags lead on, or any at the price of breaking the word
+            np.maximum(best[1:], score[:-1] + enter[1:], out=best[1:])
+            np.maximum(best, score.max(0) - np.float32(1e4), out=best)
+            if len(free):
+                best[:, free] = (np.take(score, free, axis=1)[:, None] + to).max(0)
+            np.add(best, e[t], out=scores[t])
         tags = np.zeros((b, t_n), np.int64)
-        at = ends.argmax(1)
-        rows = np.arange(b)
-        for t in range(t_n - 1, -1, -1):
+        at = scores[lengths - 1, :, rows].argmax(1)
+        for t in range(t_n - 1, -1, -1):  # the tag before is looked up for the best path only
             live = lengths > t
             tags[live, t] = at[live]
             if t:
-                at = np.where(live, back[t][rows, at], at)
+                step = t0[:, at] if inside is None else np.where(inside[:, t], held[:, at], t0[:, at])
+                at = np.where(live, (scores[t - 1] + step).argmax(0), at)
         return tags
 
     def loss_and_gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray):

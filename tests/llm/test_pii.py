@@ -91,3 +91,19 @@ def test_viterbi_equals_enumeration():
     for b, n in enumerate(lengths):
         score = lambda p: m.p["s"][p[0]] + sum(e[t, b, p[t]] for t in range(n)) + sum(m.p["t"][p[t - 1], p[t]] for t in range(1, n))  # noqa: B023, E731
         assert tuple(best[b, :n]) == max(itertools.product(range(3), repeat=int(n)), key=score)
+
+
+def test_viterbi_inside_words_equals_enumeration():
+    import itertools
+
+    m = Tagger(4, 5, seed=2)
+    m.p["t"] = np.random.default_rng(0).standard_normal((5, 5)).astype(np.float32)
+    x, lengths = encode(["ab c", "xyz", "a"])
+    e = m.emissions(x, lengths) * 3
+    inside = np.array([[False, True, False, False], [False, True, True, False], [False] * 4])
+    best = m.viterbi(e, lengths, inside)
+    leads_on = lambda p, q: q == p and p % 2 == 0 or q % 2 == 0 and 0 < q == p + 1
+    for b, n in enumerate(lengths):
+        cost = lambda p, t: m.p["t"][p[t - 1], p[t]] if not inside[b, t] or leads_on(p[t - 1], p[t]) else -1e4  # noqa: B023, E731
+        score = lambda p: m.p["s"][p[0]] + sum(e[t, b, p[t]] for t in range(n)) + sum(cost(p, t) for t in range(1, n))  # noqa: B023, E731
+        assert tuple(best[b, :n]) == max(itertools.product(range(5), repeat=int(n)), key=score)
