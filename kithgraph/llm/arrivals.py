@@ -10,8 +10,9 @@ group's distances, inside ranges of the length (the distance to the empty text):
 length, group and distances, never by workspace alone, so a large workspace is spread. Sums over 16 coarser pivots
 carried in the rows prune again, and the true distance is verified on the bags of the few pairs left.
 
-A batch computes its own pivot rows, looks its keys up in the stored index (`History`),
-which is bucketed by key and so is read without a shuffle, and is appended; nothing of the history is computed again.
+A batch computes its own pivot rows and appends them and their keys to the stored tables (`History`) before anything is
+compared: rows are bucketed by arrival and keys by key, so that each is shuffled once, and everything after reads them
+where they lie; nothing of the history is computed again.
 Every arrival gets a root: the first arrival accepted of those it repeats, directly or through others. A family of
 near copies may be very large, so rows are first tied to the earliest member of a few buckets; afterwards only rows
 of *different* roots are compared, and again where a root has changed, until no root changes. A batch, or all batches
@@ -29,7 +30,7 @@ import math
 import re
 import uuid
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,14 @@ from pyspark.sql import types as T
 
 from kithgraph.llm import transcripts
 from kithgraph.operators.skew import SALTS, salted_join
-from kithgraph.session import append_bucketed, written
+from kithgraph.session import append_bucketed, dropped, written
 
 #: Largest distance of a repeat, as a share of the longer text's words (a replaced word counts twice).
 RADIUS = 0.10
 #: Fewest pivots; ranges of long texts take as many as they need (`pivots_of`).
 PIVOTS = 1024
 COARSE = 16
-#: Buckets of a stored index; a larger history takes more.
+#: Fewest buckets of the stored tables; with more shuffle partitions there are as many.
 BUCKETS = 32
 #: Groups of each range by which a large family of near copies is first tied to its earliest member.
 LEADS = 4
@@ -178,30 +179,57 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("_earlier.coarse", "_later.coarse", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = salted_join(pairs, side("earlier"), "earlier").join(side("later"), "later").where((F.abs(F.col("_earlier.n") - F.col("_later.n")) <= bound) & (apart <= bound)).select(pairs.columns)
     near = written(near, "pairs")
-    bag = lambda side, name: bags.select(F.col("seq").alias(side), F.col("bag").alias(name))
+    # only the bags of these pairs leave the place where they are stored
+    bag = lambda side, name: bags.join(near.select(F.col(side).alias("seq")).distinct(), "seq", "left_semi").select(F.col("seq").alias(side), F.col("bag").alias(name))
     with_bags = salted_join(near, bag("earlier", "x"), "earlier").join(bag("later", "y"), "later")
     return with_bags.where(bag_distance("x", "y") <= RADIUS).select(pairs.columns)
 
 
 class History:
-    """What has been accepted: an append-only index of keys, bucketed by key, and the bags, bucketed by arrival.
+    """What has been accepted: append-only tables of pivot rows, bucketed by arrival, and of keys, bucketed by key.
 
-    Kinds of keys: 0 exact (ids, hashes, equal bags), 1 the lead groups, 2 all groups. A row of the index holds the
-    arrival, its root and its length; lengths, coarse pivot distances and bags are kept once an arrival.
+    Kinds of keys: 0 exact (ids, hashes, equal bags), 1 the lead groups, 2 all groups; 0 and 1 hold the first arrival of a
+    key only. A row of the index holds the arrival, its root if that is another, and for kind 2 its length. Keys of kind 2
+    are stored before they are compared; the few roots that change afterwards are kept in `moved`. Lengths, coarse pivot
+    distances and bags are kept once an arrival. Every append is a lot.
     """
 
-    def __init__(self, buckets: int = BUCKETS):
-        self.name, self.buckets = f"pivots_{uuid.uuid4().hex}", buckets
+    def __init__(self, buckets: int | None = None):
+        self.name, self.buckets, self.lots = f"pivots_{uuid.uuid4().hex}", buckets, 0
+        self.rows: DataFrame | None = None
         self.index: DataFrame | None = None
-        self.bags: DataFrame | None = None
+        self.moved: DataFrame | None = None
 
-    def lookup(self, keys: DataFrame, kind: int) -> DataFrame | None:
-        """Stored rows of a kind with one of the keys."""
-        return None if self.index is None else self.index.where(F.col("kind") == kind).join(keys.select("key"), "key", "left_semi").drop("kind")
+    def _append(self, df: DataFrame, what: str, key: str, *partitions: str) -> DataFrame:
+        self.buckets = self.buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return append_bucketed(df, f"{self.name}{what}", key, self.buckets, *partitions)
 
-    def append(self, index: DataFrame, bags: DataFrame) -> None:
-        self.index = append_bucketed(index.select("key", "seq", "root", "n", "kind"), self.name, "key", self.buckets, "kind")
-        self.bags = append_bucketed(bags.select("seq", "n", "coarse", "bag"), f"{self.name}_bags", "seq", self.buckets)
+    def store(self, rows: DataFrame, lot: Column, lots: int = 1) -> list[int]:
+        """Append pivot rows, of which `lot` says to which of so many new lots they belong; the numbers of these lots."""
+        self.rows = self._append(rows.select("seq", "ws", "ext", "hash", "n", "same", "keys", "leads", "coarse", "bag", (lot + self.lots).cast("int").alias("lot")), "_rows", "seq", "lot")
+        self.lots += lots
+        return list(range(self.lots - lots, self.lots))
+
+    def append(self, index: DataFrame, lot: int) -> None:
+        tied = F.when(F.col("root") < F.col("seq"), F.col("root"))
+        self.index = self._append(index.select("key", "seq", tied.alias("root"), "n", "kind", F.lit(lot).alias("lot")), "", "key", "kind", "lot")
+
+    def move(self, roots: DataFrame) -> None:
+        """Keep the roots of arrivals whose keys were stored under another."""
+        self.moved = self._append(roots.select("seq", "root"), "_moved", "seq")
+
+    def keys(self, kind: int, lots: Column) -> DataFrame:
+        """(key, seq, root, n) of a kind as it was stored."""
+        return self.index.where((F.col("kind") == kind) & lots).select("key", "seq", F.coalesce("root", "seq").alias("root"), "n")
+
+    def lookup(self, keys: DataFrame, kind: int, lot: int) -> DataFrame | None:
+        """Rows of a kind stored before a lot that have one of the keys, with the roots they ended with."""
+        if self.index is None or not lot:
+            return None
+        found = self.keys(kind, F.col("lot") < lot).join(keys.select("key"), "key", "left_semi")
+        if kind < 2 or self.moved is None:
+            return found
+        return found.join(self.moved.select("seq", F.col("root").alias("now")), "seq", "left").select("key", "seq", F.coalesce("now", "root").alias("root"), "n")
 
 
 def _roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -211,21 +239,23 @@ def _roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
     inner = edges.where("root IS NULL").select("later", "earlier")
     if inner.isEmpty():
         return label
-    inner = written(inner.distinct(), "links")
+    links = inner = written(inner.distinct(), "links")
     while True:  # along the links and along the roots of their ends, so a chain halves each round
         ends = inner.select(F.col("earlier").alias("seq")).distinct().join(label, "seq")
         higher = ends.join(label.select(F.col("seq").alias("root"), F.col("root").alias("higher")), "root", "left")
         low = _spread(inner, higher.select(F.col("seq").alias("earlier"), F.coalesce("higher", "root").alias("low")), "earlier")
         low = low.groupBy(F.col("later").alias("seq")).agg(F.min("low").alias("low"))
-        new = written(label.join(low, "seq", "left").select("seq", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root")), "roots")
-        label = new.select("seq", "root")
-        if new.where("root < old").isEmpty():
+        new = written(label.join(low, "seq", "left").select("seq", F.least("root", F.coalesce("low", "root")).alias("root"), (F.col("low") < F.col("root")).alias("fell")), "roots")
+        over = new.where("fell").isEmpty()
+        dropped(label, links) if over else dropped(label)
+        label = new
+        if over:
             return label
 
 
 def _firsts(keyed: DataFrame, stored: DataFrame | None, *carry: Column) -> DataFrame:
-    """(key, earlier, root, is_new, ...): the first arrival of every key, its root if it is a stored one."""
-    first = keyed.groupBy("key").agg(F.min("seq").alias("f"), *carry)
+    """(key, last, earlier, root, is_new, ...): the first arrival of every key, its root if it is a stored one, and the last new one."""
+    first = keyed.groupBy("key").agg(F.min("seq").alias("f"), F.max("seq").alias("last"), *carry)
     if stored is None:
         return first.select("*", F.col("f").alias("earlier"), F.lit(None).cast("long").alias("root"), F.lit(True).alias("is_new")).drop("f")
     known = stored.groupBy("key").agg(F.min(F.struct("seq", "root")).alias("s"))
@@ -249,78 +279,85 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("seq").alias("earlier"), "later", F.when(~F.col("is_new"), F.col("root")).alias("root")).distinct()
 
 
-def accept(history: History, rows: DataFrame) -> DataFrame:
-    """(accepted_seq, duplicate_seq) of a batch of pivot rows against all that is stored, which the batch is added to."""
+def accept(history: History, lot: int) -> DataFrame:
+    """(accepted_seq, duplicate_seq) of a stored lot against all lots before; its keys are added to the index."""
+    rows = history.rows.where(F.col("lot") == lot)
     key = lambda kind, c: F.when(c.isNotNull(), F.struct(F.xxhash64(F.lit(kind), "ws", c).alias("key"), F.lit(kind == "same").alias("bag")))
     own = F.array_compact(F.array(key("ext", F.col("ext")), key("hash", F.when(F.col("same").isNull(), F.col("hash"))), key("same", F.col("same"))))
     exact = rows.select("seq", F.explode(own).alias("k")).select("seq", "k.*")
-    firsts = written(_firsts(exact, history.lookup(exact, 0), F.max("bag").alias("bag")), "firsts")
-    edges = _spread(exact.select(F.col("seq").alias("later"), "key"), firsts.select("key", "earlier", "root"), "key").where("earlier < later").select("earlier", "later", "root")
+    firsts = written(_firsts(exact, history.lookup(exact, 0, lot), F.max("bag").alias("bag")), "firsts")
+    met = lambda firsts: firsts.where("earlier < last").select("key", "earlier", "root")
+    edges = _spread(exact.select(F.col("seq").alias("later"), "key"), met(firsts), "key").where("earlier < later").select("earlier", "later", "root")
 
     # one row of each bag that is not stored; its near copies are looked for
-    reps = firsts.where("bag AND is_new").select(F.col("earlier").alias("seq"))
-    kept = written(rows.join(reps, "seq", "left_semi").dropDuplicates(["seq"]).select("seq", "ws", "n", "keys", "leads", "coarse", "bag"), "kept")
-    bags = kept.select("seq", "n", "coarse", "bag")
-    bags = bags if history.bags is None else bags.unionByName(history.bags)
+    kept = rows.join(firsts.where("bag AND is_new").select(F.col("earlier").alias("seq")), "seq", "left_semi")
+    bags = history.rows.where(F.col("lot") <= lot).select("seq", "n", "coarse", "bag")
     lead = kept.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key"))
-    leads = written(_firsts(lead, history.lookup(lead, 1)), "leads")
-    tied = _spread(lead.withColumnRenamed("seq", "later"), leads.select("key", "earlier", "root"), "key").where("earlier < later").select("earlier", "later", "root").distinct()
+    leads = written(_firsts(lead, history.lookup(lead, 1, lot)), "leads")
+    tied = _spread(lead.withColumnRenamed("seq", "later"), met(leads), "key").where("earlier < later").select("earlier", "later", "root").distinct()
     edges = written(edges.unionByName(verified(tied, bags)), "edges")
     roots = _roots(rows, edges)
 
-    def grouped(roots: DataFrame) -> DataFrame:
-        """The group keys of the new bags with their present roots, which are joined before the keys are spread out."""
-        rows = kept.select("seq", "ws", "n", "keys").join(roots, "seq").select("seq", "root", "n", "ws", F.explode("keys").alias("key"))
-        return rows.select(F.xxhash64("ws", "key").alias("key"), "seq", "root", "n", F.lit(True).alias("is_new"))
-
-    stored = history.lookup(grouped(roots), 2)
-    stored = None if stored is None else written(stored, "stored")
-    changed = None
+    # the group keys of the new bags, stored with their present roots, which are joined before the keys are spread out
+    spread = lambda kept: kept.select("seq", "n", "ws", F.explode("keys").alias("k")).select(F.xxhash64("ws", "k").alias("key"), "seq", "n")
+    rooted = kept.select("seq", "ws", "n", "keys").join(roots.select("seq", "root"), "seq").select("seq", "root", "n", "ws", F.explode("keys").alias("k"))
+    history.append(rooted.select(F.xxhash64("ws", "k").alias("key"), "seq", "root", "n", F.lit(2).alias("kind")), lot)
+    mine = history.keys(2, F.col("lot") == lot)
+    stored = history.lookup(mine, 2, lot)
+    stored = None if stored is None else written(stored.withColumn("is_new", F.lit(False)).withColumn("early", F.lit(True)), "stored")
+    first_roots, changed = roots, None
     while True:
-        if changed is None:
-            spread = grouped(roots) if stored is None else grouped(roots).unionByName(stored.withColumn("is_new", F.lit(False)))
-            spread = spread.withColumn("early", F.lit(True))
+        if changed is None:  # keys that one root has alone stay where they are
+            shared = mine.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            shared = shared if stored is None else shared.unionByName(stored.select("key")).distinct()
+            near = mine.join(shared, "key", "left_semi").withColumn("is_new", F.lit(True)).withColumn("early", F.lit(True))
+            near = near if stored is None else near.unionByName(stored)
         else:  # only what shares a key with a row whose root has changed
-            touched = grouped(roots.join(changed, "seq", "left_semi")).select("key").distinct()
-            spread = written(grouped(roots).join(touched, "key", "left_semi"), "touched").join(changed.withColumn("early", F.lit(True)), "seq", "left")
-            spread = spread.withColumn("early", F.coalesce("early", F.lit(False)))
-        pairs = _candidates(spread)
+            touched = spread(kept.join(changed, "seq", "left_semi")).select("key").distinct()
+            near = mine.join(touched, "key", "left_semi").drop("root").join(roots.select("seq", "root"), "seq").withColumn("is_new", F.lit(True))
+            near = near.join(changed.withColumn("early", F.lit(True)), "seq", "left").withColumn("early", F.coalesce("early", F.lit(False)))
+        near = written(near, "met")
+        pairs = _candidates(near)
         more = written(verified(pairs, bags), "near")
+        dropped(near)
         if more.isEmpty():
             break
         edges, before = edges.unionByName(more), roots
         roots = _roots(rows, edges)
-        changed = written(roots.join(before.withColumnRenamed("root", "old"), "seq").where("root < old").select("seq"), "changed")
-    rooted = lambda d: d.where("is_new").drop("root").withColumnRenamed("earlier", "seq").join(roots, "seq").select("key", "seq", "root", F.lit(None).cast("int").alias("n"))
-    index = rooted(firsts).withColumn("kind", F.lit(0)).unionByName(rooted(leads).withColumn("kind", F.lit(1))).unionByName(grouped(roots).drop("is_new").withColumn("kind", F.lit(2)))
-    history.append(index, kept)
+        changed = written(roots.select("seq", "root").join(before.select("seq", F.col("root").alias("old")), "seq").where("root < old").select("seq"), "changed")
+    if changed is not None:
+        history.move(roots.select("seq", "root").join(first_roots.select("seq", F.col("root").alias("old")), "seq").where("root < old"))
+    ends = lambda d: d.where("is_new").drop("root").withColumnRenamed("earlier", "seq").join(roots.select("seq", "root"), "seq").select("key", "seq", "root", F.lit(None).cast("int").alias("n"))
+    history.append(ends(firsts).withColumn("kind", F.lit(0)).unionByName(ends(leads).withColumn("kind", F.lit(1))), lot)
+    dropped(firsts, leads, *([] if stored is None else [stored]))
     return roots.where("root < seq").select(F.col("root").alias("accepted_seq"), F.col("seq").alias("duplicate_seq"))
 
 
 def first_arrivals(table: DataFrame) -> DataFrame:
     """(accepted_seq, duplicate_seq) over a pivot table, all its rows taken as one batch."""
-    return accept(History(), table)
+    history = History()
+    return accept(history, *history.store(table, F.lit(0)))
 
 
 def append_batch(history: History, batch: DataFrame) -> DataFrame:
     """(accepted_seq, duplicate_seq) of a new batch of sources; only its texts are read, and it is added to the history."""
-    return accept(history, written(pivot_table(batch), "pivots"))
+    return accept(history, *history.store(pivot_table(batch), F.lit(0)))
 
 
 def repeats(sources: DataFrame, history: History | None = None, one_by_one: bool = False) -> DataFrame:
     """(accepted_seq, duplicate_seq) of every arrival that repeats an earlier one of its workspace.
 
-    The pivot rows of every arrival are computed once and stored by batch. Batch 0 is the accepted history; what has
+    The pivot rows of every arrival are computed once and stored by lot. Batch 0 is the accepted history; what has
     arrived since meets it through the index, all new batches together, or each on its own (`one_by_one`). Both give the
     same pairs; a batch costs some twenty jobs, however small it is.
     """
     history = history or History()
     batch = F.coalesce("batch_id", F.lit(0)).cast("int") if "batch_id" in sources.columns else F.lit(0)
-    rows = written(pivot_table(sources, batch), "pivots", "batch")
-    found = None
-    numbers = sorted(r["batch"] for r in rows.select("batch").distinct().collect())  # one row a batch
+    numbers = sorted(r["batch"] for r in sources.where("workspace_id IS NOT NULL").select(batch.alias("batch")).distinct().collect())  # one row a batch
     lots = [[b] for b in numbers] if one_by_one else [lot for lot in ([b for b in numbers if b <= 0], [b for b in numbers if b > 0]) if lot]
-    for lot in lots:
-        pairs = accept(history, rows.where(F.col("batch").isin(lot)).drop("batch"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else sources.sparkSession.createDataFrame([], "accepted_seq long, duplicate_seq long")
+    if not lots:
+        return sources.sparkSession.createDataFrame([], "accepted_seq long, duplicate_seq long")
+    starts = [lot[0] for lot in lots[1:]]
+    number = sum(((F.col("batch") >= b).cast("int") for b in starts), F.lit(0))
+    found = [accept(history, lot) for lot in history.store(pivot_table(sources, batch), number, len(lots))]
+    return reduce(DataFrame.unionByName, found)

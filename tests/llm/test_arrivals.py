@@ -136,3 +136,26 @@ def test_every_row_is_spread_once_to_find_shared_keys(spark, monkeypatch):
     pairs = arrivals._candidates(spark.createDataFrame(rows, "key long, seq long, root long, n int, is_new boolean, early boolean"))
     assert {tuple(r) for r in pairs.collect()} == {(10, 20, 10), (50, 60, None)}
     assert [d._jdf.queryExecution().optimizedPlan().collectLeaves().size() for d in stored] == [1, 2]
+
+
+def test_bags_and_keys_are_stored_once(spark, monkeypatch):
+    from kithgraph.llm import arrivals
+
+    stored = []
+    monkeypatch.setattr(arrivals, "written", lambda df, label, *p: stored.append(df.dtypes) or written(df, label, *p))
+    rows, want = _rows(7)
+    assert _pairs(repeats(spark.createDataFrame([(*x, int(x[0] > 3)) for x in rows], SCHEMA + ", batch_id int"))) == want
+    assert stored and not [x for x in stored if {"binary", "array<bigint>"} & {kind for _, kind in x}]
+
+def test_writes_leave_no_shuffle_files(spark):
+    import time
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    counts = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and counts.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
