@@ -14,6 +14,8 @@ CAPITAL, SMALL, UNCASED, DIGIT = range(len(_CHARS) + 2, len(_CHARS) + 6)
 VOCABULARY = len(_CHARS) + 6
 _CODE = {c: i for i, c in enumerate(_CHARS)}
 _KNOWN = np.full(0x110000, -1, dtype=np.int16)
+#: Whether a character is a letter or digit of a script that parts words by spaces; -1 where not asked yet.
+_IN_WORD = np.full(0x110000, -1, dtype=np.int8)
 
 
 def code(c: str) -> int:
@@ -26,17 +28,21 @@ def code(c: str) -> int:
     return base
 
 
-def symbols(text: str) -> np.ndarray:
-    """The symbols of all characters of a text."""
+def _looked_up(text: str, known: np.ndarray, of) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = _KNOWN[points]
+    out = known[points]
     if out.size and out.min() < 0:
         for p in np.unique(points[out < 0]):
-            _KNOWN[p] = code(chr(p))
-        out = _KNOWN[points]
+            known[p] = of(chr(p))
+        out = known[points]
     return out
 
 
+def symbols(text: str) -> np.ndarray:
+    """The symbols of all characters of a text."""
+    return _looked_up(text, _KNOWN, code)
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols padded on the right, lengths)."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -49,7 +55,7 @@ def inside_words(texts: list[str], width: int) -> np.ndarray:
     """(B, T): places whose character and the one before belong to one word of a script that parts words by spaces."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     joined = "".join(texts)
-    letter = np.fromiter(map(str.isalnum, joined), dtype=bool, count=len(joined)) & (symbols(joined) != UNCASED)
+    letter = _looked_up(joined, _IN_WORD, lambda c: c.isalnum() and code(c) != UNCASED).astype(bool)
     out = np.zeros((len(texts), width), dtype=bool)
     out[np.arange(width) < lengths[:, None]] = letter
     out[:, 1:] &= out[:, :-1]
@@ -144,11 +150,15 @@ class Tagger:
 
     def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(T, B, tags) of symbols (B, T); what lies beyond a text's length means nothing."""
-        n, t_n = self.hidden, x.shape[1]
-        forward = self._states("f", np.ascontiguousarray(x.T)) @ self.p["w"][:n] + self.p["b"]
+        n, (b, t_n) = self.hidden, x.shape
+        x = np.ascontiguousarray(x.T)
+        e = self._states("f", x) @ self.p["w"][:n]
+        e += self.p["b"]
         turned = np.where((at := lengths - 1 - np.arange(t_n)[:, None]) >= 0, at, np.arange(t_n)[:, None])  # each text from its end
-        back = self._states("b", np.take_along_axis(np.ascontiguousarray(x.T), turned, 0)) @ self.p["w"][n:]
-        return forward + np.take_along_axis(back, turned[:, :, None], 0)
+        turned = turned * b + np.arange(b)
+        back = self._states("b", x.take(turned)) @ self.p["w"][n:]
+        e += back.reshape(t_n * b, -1).take(turned, axis=0)
+        return e
 
     def silent(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Texts whose best tags are certainly all 0: at no place can another tag make up for what it and the way back cost."""
@@ -187,13 +197,15 @@ class Tagger:
                 best[:, free] = (np.take(score, free, axis=1)[:, None] + to).max(0)
             np.add(best, e[t], out=scores[t])
         tags = np.zeros((b, t_n), np.int64)
+        steps, word = np.hstack([t0, held]), np.zeros((t_n, b), np.int64) if inside is None else inside.T * np.int64(k)
         at = scores[lengths - 1, :, rows].argmax(1)
         for t in range(t_n - 1, -1, -1):  # the tag before is looked up for the best path only
             live = lengths > t
             tags[live, t] = at[live]
             if t:
-                step = t0[:, at] if inside is None else np.where(inside[:, t], held[:, at], t0[:, at])
-                at = np.where(live, (scores[t - 1] + step).argmax(0), at)
+                step = steps.take(at + word[t], axis=1)
+                step += scores[t - 1]
+                at = np.where(live, step.argmax(0), at)
         return tags
 
     def loss_and_gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray):

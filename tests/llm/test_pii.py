@@ -107,3 +107,47 @@ def test_viterbi_inside_words_equals_enumeration():
         cost = lambda p, t: m.p["t"][p[t - 1], p[t]] if not inside[b, t] or leads_on(p[t - 1], p[t]) else -1e4  # noqa: B023, E731
         score = lambda p: m.p["s"][p[0]] + sum(e[t, b, p[t]] for t in range(n)) + sum(cost(p, t) for t in range(1, n))  # noqa: B023, E731
         assert tuple(best[b, :n]) == max(itertools.product(range(5), repeat=int(n)), key=score)
+
+
+def test_spans_are_read_in_steps_by_pieces_not_by_places():
+    import sys
+
+    from kithgraph.llm.pii import spans_of
+
+    def one_by_one(tags):
+        out, i = [], 0
+        while i < len(tags):
+            j, kind = i + 1, (int(tags[i]) - 1) // 2
+            if tags[i]:
+                while j < len(tags) and tags[j] == 2 * kind + 2:
+                    j += 1
+                out.append((i, j, kind))
+            i = j
+        return out
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 40, 300):
+        for _ in range(30):
+            tags = r.integers(0, 11, n) * (r.random(n) < 0.8)
+            tags = np.repeat(tags, r.integers(1, 4, n))
+            assert spans_of(tags) == one_by_one(tags)
+    tags, steps = np.zeros(20_000, np.int64), []
+    tags[500:900], tags[19_999] = 2, 9
+    trace = lambda frame, event, arg: steps.append(event) or trace
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        found = spans_of(tags)
+    finally:
+        sys.settrace(before)
+    assert found == [(500, 900, 0), (19_999, 20_000, 4)] and len(steps) < 100
+
+
+def test_letters_of_words_are_looked_up_as_they_were_asked():
+    from kithgraph.llm.tagger import UNCASED, inside_words, symbols
+
+    texts = ["Zoë O’Neil, 3rd fl.", "", "東京 Łódź №5 ½x²", "é́t \U0001f600a1\ud800b"]
+    width = max(map(len, texts))
+    for got, t in zip(inside_words(texts, width), texts):
+        letter = [c.isalnum() and s != UNCASED for c, s in zip(t, symbols(t))] + [False] * (width - len(t))
+        assert got.tolist() == [i > 0 and letter[i] and letter[i - 1] for i in range(width)]
