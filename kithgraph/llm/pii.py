@@ -3,7 +3,7 @@
 The tagger reads whole texts, character by character: every line of every text, with the line break before it. Lines
 longer than a window are covered by overlapping windows, whose emissions are joined with weights falling towards the
 window's edges; one Viterbi pass over the whole line then reconciles all windows at once. The transitions know where
-words are: no piece begins or ends inside one. Lines for which the emissions prove that no tag can win are not decoded.
+words are: no piece begins or ends inside one. Places for which the emissions prove that no tag can win are not decoded.
 Equal lines are read once per batch. No pattern chooses what is read or decides what is found; of what is decoded,
 punctuation at the edges is left out. No shuffle.
 
@@ -33,7 +33,7 @@ TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = 1 + 2 * len(TYPES)
 WINDOW, STRIDE, BATCH = 240, 180, 768
 #: Characters read at once.
-AT_ONCE = 400_000
+AT_ONCE = 1_500_000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
 
@@ -52,8 +52,8 @@ def _model() -> Tagger:
     return Tagger.load(WEIGHTS)
 
 
-def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
-    """Tags of every text; long ones by overlapping windows whose emissions are joined before decoding."""
+def _spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """(start, end, type number) of the pieces of every text, in order of place; long ones by overlapping windows whose emissions are joined before decoding."""
     pieces = []  # (text number, start, end)
     for n, t in enumerate(texts):
         s = 0
@@ -62,17 +62,12 @@ def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
             if s + WINDOW >= len(t):
                 break
             s += STRIDE
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     order = sorted(range(len(pieces)), key=lambda i: pieces[i][2] - pieces[i][1])
     long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # (text number, start, emissions, places inside words)
 
-    def decode(numbers: list[int], e: np.ndarray, lengths: np.ndarray) -> None:
-        live = np.flatnonzero(~model.silent(e, lengths))
-        if len(live):
-            width = int(lengths[live].max())
-            found = model.viterbi(e[:width, live], lengths[live], inside_words([texts[numbers[j]] for j in live], width))
-            for j, row in zip(live, found):
-                out[numbers[j]] = row[: lengths[j]]
+    def keep(numbers: list[int], e: np.ndarray, lengths: np.ndarray) -> None:
+        found.extend((numbers[j], start, own, inside) for j, start, own, inside in model.cut(e, lengths, [texts[n] for n in numbers]))
 
     for at in range(0, len(order), BATCH):
         part = [pieces[i] for i in order[at : at + BATCH]]
@@ -80,7 +75,7 @@ def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
         e = model.emissions(x, lengths)
         whole = [j for j, (n, _, _) in enumerate(part) if len(texts[n]) <= WINDOW]
         if whole:
-            decode([part[j][0] for j in whole], e[:, whole] if len(whole) < len(part) else e, lengths[whole])
+            keep([part[j][0] for j in whole], e[:, whole] if len(whole) < len(part) else e, lengths[whole])
         for j, (n, s, stop) in enumerate(part):
             if len(texts[n]) > WINDOW:
                 total, weight = long.setdefault(n, (np.zeros((len(texts[n]), TAGS), np.float32), np.zeros((len(texts[n]), 1), np.float32)))
@@ -102,8 +97,11 @@ def _tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
         for j, n in enumerate(part):
             total, weight = long.pop(n)
             e[: lengths[j], j] = total / weight
-        decode(part, e, lengths)
-    return out
+        keep(part, e, lengths)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for (n, start, _, _), tags in zip(found, model.decode([x[2:] for x in found])):
+        out[n] += [(start + s, start + t, kind) for s, t, kind in spans_of(tags)]
+    return [sorted(x) for x in out]
 
 
 #: A piece in a row of tags: either tag of a type, and the second one as long as it goes on.
@@ -150,8 +148,8 @@ def find(texts: list[str | None], model: Tagger | None = None) -> list[list[tupl
         for k in [k for k in _seen if k not in kept]:
             del _seen[k]
     reads = list(wanted)
-    for read, tags in zip(reads, _tags(reads, model) if reads else ()):
-        found = [(*trimmed(read, s, e, kind), kind) for s, e, kind in spans_of(tags)]
+    for read, spans in zip(reads, _spans(reads, model) if reads else ()):
+        found = [(*trimmed(read, s, e, kind), kind) for s, e, kind in spans]
         _seen[read] = [x for x in found if x[0] < x[1]]
     return [[(start + s, start + e, kind) for start, read in own for s, e, kind in _seen[read]] for own in places]
 

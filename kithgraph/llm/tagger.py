@@ -7,6 +7,8 @@ import unicodedata
 
 import numpy as np
 
+from kithgraph.llm import recurrent
+
 _CHARS = "\n abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,:;!?'\"()[]{}<>@#&/+-_*|%$=~—–•"
 OTHER, PAD = len(_CHARS), len(_CHARS) + 1
 #: Letters and digits of scripts that have no Latin base letter: capitals, small letters, letters without case, digits.
@@ -74,7 +76,7 @@ class Tagger:
         r = np.random.default_rng(seed)
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.hidden, self.tags = hidden, tags
-        self.p = {}
+        self.p, self._made = {}, {}
         for d in "fb":
             self.p[f"x{d}"] = f(VOCABULARY, 4 * hidden, scale=0.3)
             self.p[f"u{d}"] = f(hidden, 4 * hidden, scale=1 / np.sqrt(hidden))
@@ -148,26 +150,103 @@ class Tagger:
                 h = np.multiply(z[2], s, out=out[t])
         return out
 
+    def _emitted(self, d: str, x: np.ndarray) -> np.ndarray:
+        """(T, B, tags): what the states of one direction add to the emissions."""
+        w = self.p["w"]
+        weights = self.p[f"x{d}"], self.p[f"u{d}"], w[: self.hidden] if d == "f" else w[self.hidden :]
+        made = self._made.get(d)
+        if made is None or any(a is not b for a, b in zip(made[0], (*weights[:2], w))):  # training puts new arrays in their place
+            made = self._made[d] = (*weights[:2], w), recurrent.emissions(*weights)
+        return made[1](x) if made[1] else self._states(d, x) @ weights[2]
+
     def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(T, B, tags) of symbols (B, T); what lies beyond a text's length means nothing."""
-        n, (b, t_n) = self.hidden, x.shape
+        b, t_n = x.shape
         x = np.ascontiguousarray(x.T)
-        e = self._states("f", x) @ self.p["w"][:n]
+        e = self._emitted("f", x)
         e += self.p["b"]
         turned = np.where((at := lengths - 1 - np.arange(t_n)[:, None]) >= 0, at, np.arange(t_n)[:, None])  # each text from its end
         turned = turned * b + np.arange(b)
-        back = self._states("b", x.take(turned)) @ self.p["w"][n:]
+        back = self._emitted("b", x.take(turned))
         e += back.reshape(t_n * b, -1).take(turned, axis=0)
         return e
 
+    def spots(self, e: np.ndarray, lengths: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """(T, B): places where a tag other than 0 may win; at all others 0 certainly does.
+
+        What a row of other tags gains over tag 0 is at most the sum of the gains of its places, each taken with the best
+        way into it, less the way back unless the text ends; so a place is out if no row of places around it comes to
+        nothing or more. Inside words rows neither begin nor end, and only the second tags go on.
+        """
+        t, s = self.p["t"] - self.p["t"][0, 0], self.p["s"] - self.p["s"][0]
+        back, into = t[1:, 0].max(), t[1:].max(0)
+        first, on, new = (np.full(e.shape[:2], -1e4, np.float32) for _ in range(3))
+        for k in range(1, self.tags):
+            over = e[:, :, k] - e[:, :, 0]
+            np.maximum(first[0], over[0] + s[k], out=first[0])
+            np.maximum(first[1:], over[1:] + t[0, k], out=first[1:])
+            over += into[k]
+            np.maximum(*((new, over) if k % 2 else (on, over)), out=new if k % 2 else on)
+        if inside is not None:
+            first[inside.T] = new[inside.T] = -1e4
+        gain = np.maximum(on, new, out=on)
+        total = np.cumsum(gain, axis=0, dtype=np.float64)
+        least = np.minimum.accumulate(total - first, axis=0)
+        total += back
+        if inside is not None:
+            total[:-1][inside.T[1:]] -= 1e4
+        total[lengths - 1, np.arange(len(lengths))] -= back
+        total[np.arange(len(e))[:, None] >= lengths] = -np.inf
+        return np.maximum.accumulate(total[::-1], axis=0)[::-1] - least >= -0.01  # a little less than nothing, for rounding
+
     def silent(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Texts whose best tags are certainly all 0: at no place can another tag make up for what it and the way back cost."""
-        t, s = self.p["t"], self.p["s"]
-        back = max(0.0, float((t[1:, 0] - t[0, 0]).max()))
-        into = t[:, 1:].max(0)
-        gain = (e[:, :, 1:] + into).max(2) - (e[:, :, 0] + t[0, 0]) + back
-        gain[0] = (e[0, :, 1:] + s[1:]).max(1) - (e[0, :, 0] + s[0]) + back
-        return ~((gain >= 0) & (np.arange(len(e))[:, None] < lengths)).any(0)
+        """Texts whose best tags are certainly all 0."""
+        return ~self.spots(e, lengths).any(0)
+
+    def stretches(self, e: np.ndarray, lengths: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """(number of the text, start, end) of the stretches that must be decoded: `spots` and the place before and after."""
+        wide = np.zeros((len(lengths), len(e) + 2), bool)
+        wide[:, 1:-1] = self.spots(e, lengths, inside).T
+        near = wide.copy()
+        near[:, 1:] |= wide[:, :-1]
+        near[:, :-1] |= wide[:, 1:]
+        near[:, 0] = near[:, -1] = False
+        row, at = np.nonzero(near[:, 1:] != near[:, :-1])
+        return np.stack([row[::2], at[::2], np.minimum(at[1::2], lengths[row[::2]])], axis=1)
+
+    def cut(self, e: np.ndarray, lengths: np.ndarray, texts: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(number of the text, start, emissions, places inside words) of every stretch that may hold another tag than 0.
+
+        Decoded alone it has the tags of one Viterbi pass over the whole text, as it ends with the text or with tag 0.
+        """
+        inside = inside_words(texts, len(e))
+        out = []
+        for row, start, end in self.stretches(e, lengths, inside).tolist():
+            own = e[start:end, row].copy()
+            if start:
+                own[0, 1:] = -1e9
+            if end < lengths[row]:
+                own[-1, 1:] = -1e9
+            out.append((row, start, own, inside[row, start:end]))
+        return out
+
+    def decode(self, stretches: list[tuple[np.ndarray, np.ndarray]], at_once: int = 768) -> list[np.ndarray]:
+        """The best tags of (emissions, places inside words) of stretches."""
+        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i][0]))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
+        at = 0
+        while at < len(order):
+            part = order[at : at + at_once]
+            part = part[: max(1, sum(len(stretches[i][0]) * (n + 1) <= 400_000 for n, i in enumerate(part)))]  # few at once if they are very long
+            at += len(part)
+            size = np.array([len(stretches[i][0]) for i in part])
+            e, inside = np.zeros((size.max(), len(part), self.tags), np.float32), np.zeros((len(part), size.max()), bool)
+            live = np.arange(size.max()) < size[:, None]
+            e.transpose(1, 0, 2)[live] = np.concatenate([stretches[i][0] for i in part])
+            inside[live] = np.concatenate([stretches[i][1] for i in part])
+            for i, n, tags in zip(part, size, self.viterbi(e, size, inside)):
+                out[i] = tags[:n]
+        return out
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """Best tags (B, T) of emissions (T, B, tags); the padding gets tag 0.

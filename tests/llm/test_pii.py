@@ -151,3 +151,61 @@ def test_letters_of_words_are_looked_up_as_they_were_asked():
     for got, t in zip(inside_words(texts, width), texts):
         letter = [c.isalnum() and s != UNCASED for c, s in zip(t, symbols(t))] + [False] * (width - len(t))
         assert got.tolist() == [i > 0 and letter[i] and letter[i - 1] for i in range(width)]
+
+
+def test_only_stretches_that_may_hold_a_piece_are_decoded(monkeypatch):
+    decoded = []
+    viterbi = Tagger.viterbi
+    monkeypatch.setattr(Tagger, "viterbi", lambda self, e, *rest: decoded.append(e.shape[0] * e.shape[1]) or viterbi(self, e, *rest))
+    filler = "nobody on the grid storage side priced the workshop before the summer. "
+    text = "\n".join(f"{4 * filler}Ping ann.lee{i}@x.example.org about it. {4 * filler}" for i in range(40))
+    assert found(text) == {("email", f"ann.lee{i}@x.example.org") for i in range(40)}
+    assert 0 < sum(decoded) < len(text) / 2
+
+
+def test_stretches_decoded_alone_have_the_tags_of_whole_texts():
+    from kithgraph.llm.tagger import inside_words
+
+    m, r = Tagger(4, 5, seed=5), np.random.default_rng(7)
+    texts = ["\n" + "".join(r.choice(list("abcAB 12.  "), n)) for n in r.integers(1, 60, 400)] + ["x", " "]
+    x, lengths = encode(texts)
+    inside, pieces, cut = inside_words(texts, x.shape[1]), 0, 0
+    for bias in (1.0, 2.5, 4.0):
+        m.p["t"] = r.standard_normal((5, 5)).astype(np.float32) - np.float32([[0], [2], [2], [2], [2]]) * np.eye(1, 5, dtype=np.float32)
+        m.p["s"] = r.standard_normal(5).astype(np.float32)
+        e = (r.standard_normal((x.shape[1], len(texts), 5)) * 2).astype(np.float32)
+        e[:, :, 0] += bias
+        whole, own = m.viterbi(e, lengths, inside), np.zeros(x.shape, np.int64)
+        stretches = m.cut(e, lengths, texts)
+        for (n, start, _, _), tags in zip(stretches, m.decode([s[2:] for s in stretches], 7)):
+            own[n, start : start + len(tags)] = tags
+        assert (own == whole).all()
+        pieces, cut = pieces + (whole > 0).sum(), cut + sum(len(s[2]) for s in stretches)
+    assert pieces > 1000 and cut < 2.5 * lengths.sum()
+
+
+def test_the_runtime_emits_what_numpy_does():
+    import pytest
+
+    from kithgraph.llm import recurrent
+
+    pytest.importorskip("onnxruntime")
+    m, r = Tagger(5, 7, seed=4), np.random.default_rng(2)
+    for shape in ((1, 1), (9, 3), (60, 40)):
+        x = r.integers(0, len(m.p["xf"]), shape)
+        for d, w in (("f", m.p["w"][:5]), ("b", m.p["w"][5:])):
+            got = recurrent.emissions(m.p[f"x{d}"], m.p[f"u{d}"], w)(x)
+            assert got.shape == (*shape, 7) and np.abs(got - m._states(d, x) @ w).max() < 1e-5
+    before = m._emitted("f", x)
+    m.p["xf"] = m.p["xf"] * 2
+    assert np.abs(m._emitted("f", x) - m._states("f", x) @ m.p["w"][:5]).max() < 1e-5 < np.abs(m._emitted("f", x) - before).max()
+
+
+def test_without_the_runtime_the_same_pieces_are_found(monkeypatch):
+    from kithgraph.llm import recurrent
+
+    text = "deborah wendebaeva: Moved to 1397 Bellmead Terrace, Apt 3B in spring.\nWe met Hiroshi Tanaka, +44 20 7946 0633."
+    with_runtime = pii.find([text], Tagger.load(pii.WEIGHTS))
+    monkeypatch.setattr(recurrent, "onnxruntime", None)
+    pii._seen.clear()
+    assert len(with_runtime[0]) == 4 and pii.find([text], Tagger.load(pii.WEIGHTS)) == with_runtime
