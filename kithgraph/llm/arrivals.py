@@ -31,6 +31,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache, reduce
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -58,11 +59,21 @@ RANGE = 1.25
 PLACEHOLDER_IDS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "undefined", "tbd", "0", "?", "not set", "(not set)", "missing", "test", "id")
 
 _WORD = re.compile(r"[^\W_]+")
+#: What `_WORD` leaves out of plain ASCII.
+_BETWEEN = {i: " " for i in range(128) if not _WORD.match(chr(i))}
 
 
-@lru_cache(maxsize=100_000)
-def _hesitation(word: str) -> bool:
-    return transcripts.HESITATION.fullmatch(word) is not None
+class _Heard(dict):
+    """Whether a word is more than hesitation."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = heard = transcripts.HESITATION.fullmatch(word) is None
+        return heard
+
+
+_heard = _Heard()
 
 
 def spoken_words(body: str | None, hints: str | None) -> list[str]:
@@ -71,7 +82,14 @@ def spoken_words(body: str | None, hints: str | None) -> list[str]:
     if not transcript:
         return []
     said = "\n".join(text for _, _, text in transcripts._utterances(transcript, transcripts.Cast(names), {}))
-    return [w for w in _WORD.findall(transcripts._no_notes(said).lower()) if not _hesitation(w)]
+    text = transcripts._no_notes(said).lower()
+    words = text.translate(_BETWEEN).split() if text.isascii() else _WORD.findall(text)
+    return list(compress(words, map(_heard.__getitem__, words)))
+
+
+@lru_cache(maxsize=100_000)
+def _levels(n: int) -> tuple[int, ...]:
+    return tuple(levels(n))
 
 
 def levels(n: int) -> list[int]:
@@ -97,6 +115,13 @@ def _weights(pivots: int) -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 2**63 - 1, size=pivots, dtype=np.int64) | 1
 
 
+@lru_cache(maxsize=64)
+def _cuts(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of a range begin among its pivots, and what tells the keys of its groups apart."""
+    g = groups_of(level)
+    return (np.arange(g) * pivots_of(level)) // g, np.arange(g, dtype=np.int64) * np.int64(7_919) + np.int64(level * 104_729)
+
+
 class _Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
@@ -110,21 +135,26 @@ _FEATURES = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("sa
 
 
 def _features(words: list[str]) -> tuple:
-    codes = np.array([_codes[w] for w in words], dtype=np.uint32)
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint32, len(words))
     if not len(codes):
-        return 0, None, [], [], [0] * COARSE, None
+        return 0, None, _NONE, _NONE, _FLAT, None
     codes.sort()
-    counts = {PIVOTS: np.bincount(codes % PIVOTS, minlength=PIVOTS)}
+    counts = np.bincount(codes & np.uint32(PIVOTS - 1), minlength=PIVOTS)
+    weighted = {PIVOTS: counts * _weights(PIVOTS)}  # wraps around
     keys = []
-    with np.errstate(over="ignore"):
-        for level in levels(len(codes)):
-            g, p = groups_of(level), pivots_of(level)
-            if p not in counts:
-                counts[p] = np.bincount(codes % p, minlength=p)
-            cuts = (np.arange(g) * p) // g
-            keys.append(np.add.reduceat(counts[p].astype(np.int64) * _weights(p), cuts) * np.int64(1_000_003) + np.arange(g, dtype=np.int64) * np.int64(7_919) + np.int64(level * 104_729))
-        same = int(np.int64(zlib.crc32(codes.tobytes())) * np.int64(1_000_003) + (counts[PIVOTS].astype(np.int64) * _weights(PIVOTS)).sum())
-    return len(codes), same, np.concatenate(keys).tolist(), np.concatenate([k[:LEADS] for k in keys]).tolist(), counts[PIVOTS].reshape(COARSE, -1).sum(1).clip(0, 32767).tolist(), codes.tobytes()
+    for level in _levels(len(codes)):
+        p = pivots_of(level)
+        if p not in weighted:
+            weighted[p] = np.bincount(codes & np.uint32(p - 1), minlength=p) * _weights(p)
+        starts, own = _cuts(level)
+        keys.append(np.add.reduceat(weighted[p], starts) * np.int64(1_000_003) + own)
+    bag = codes.tobytes()
+    same = (zlib.crc32(bag) * 1_000_003 + int(weighted[PIVOTS].sum()) + 2**63) % 2**64 - 2**63
+    coarse = np.minimum(np.add.reduceat(counts, _COARSE_STARTS), 32767)
+    return len(codes), same, np.concatenate(keys), np.concatenate([k[:LEADS] for k in keys]), coarse.astype(np.int16), bag
+
+
+_NONE, _FLAT, _COARSE_STARTS = np.zeros(0, dtype=np.int64), np.zeros(COARSE, dtype=np.int16), np.arange(COARSE) * (PIVOTS // COARSE)
 
 
 @F.pandas_udf(_FEATURES)
@@ -202,7 +232,7 @@ class History:
 
     def _append(self, df: DataFrame, what: str, key: str, *partitions: str) -> DataFrame:
         self.buckets = self.buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return append_bucketed(df, f"{self.name}{what}", key, self.buckets, *partitions)
+        return append_bucketed(df, f"{self.name}{what}", key, self.buckets, *partitions, plain=("key", "same", "bag", "keys.list.element", "leads.list.element"))
 
     def store(self, rows: DataFrame, lot: Column, lots: int = 1) -> list[int]:
         """Append pivot rows, of which `lot` says to which of so many new lots they belong; the numbers of these lots."""
@@ -284,7 +314,7 @@ def accept(history: History, lot: int) -> DataFrame:
     rows = history.rows.where(F.col("lot") == lot)
     key = lambda kind, c: F.when(c.isNotNull(), F.struct(F.xxhash64(F.lit(kind), "ws", c).alias("key"), F.lit(kind == "same").alias("bag")))
     own = F.array_compact(F.array(key("ext", F.col("ext")), key("hash", F.when(F.col("same").isNull(), F.col("hash"))), key("same", F.col("same"))))
-    exact = rows.select("seq", F.explode(own).alias("k")).select("seq", "k.*")
+    exact = written(rows.select("seq", F.explode(own).alias("k")).select("seq", "k.*"), "exact")
     firsts = written(_firsts(exact, history.lookup(exact, 0, lot), F.max("bag").alias("bag")), "firsts")
     met = lambda firsts: firsts.where("earlier < last").select("key", "earlier", "root")
     edges = _spread(exact.select(F.col("seq").alias("later"), "key"), met(firsts), "key").where("earlier < later").select("earlier", "later", "root")
@@ -292,10 +322,11 @@ def accept(history: History, lot: int) -> DataFrame:
     # one row of each bag that is not stored; its near copies are looked for
     kept = rows.join(firsts.where("bag AND is_new").select(F.col("earlier").alias("seq")), "seq", "left_semi")
     bags = history.rows.where(F.col("lot") <= lot).select("seq", "n", "coarse", "bag")
-    lead = kept.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key"))
+    lead = written(kept.select("seq", F.explode("leads").alias("lead"), "ws").select("seq", F.xxhash64("ws", "lead").alias("key")), "lead")
     leads = written(_firsts(lead, history.lookup(lead, 1, lot)), "leads")
     tied = _spread(lead.withColumnRenamed("seq", "later"), met(leads), "key").where("earlier < later").select("earlier", "later", "root").distinct()
     edges = written(edges.unionByName(verified(tied, bags)), "edges")
+    dropped(exact, lead)
     roots = _roots(rows, edges)
 
     # the group keys of the new bags, stored with their present roots, which are joined before the keys are spread out

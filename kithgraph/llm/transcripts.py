@@ -54,6 +54,9 @@ HESITATION = regex.compile(r"(?i)\b(?:u+h+m*|u+m+|e+r+m*|h+m+|a+h+|o+h+|e+h+|m+|
 PHRASES = regex.compile(r"(?i),?\s*\b(?:you know|i mean|sort of|like)\b(?:,|\.\.\.)+")
 BANNERS = {"webvtt", "transcript generated automatically", "recording started", "recording stopped", "recording ended", "end of transcript"}
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
+_CAPITAL, _LETTERS = regex.compile(r"\p{Lu}"), regex.compile(r"\p{L}+")
+_AFTER_NAME = regex.compile(r"\s*<|\s+[—–]\s|\s+-\s|\s*\(")
+_NOTE_OPENS = re.compile(r"[\[({<*♪]")
 
 
 @lru_cache(maxsize=100_000)
@@ -65,10 +68,25 @@ def name_of(entry) -> str | None:
     """The name in one attendee entry: an object, or `Name <email> — Company`."""
     if isinstance(entry, dict):
         entry = entry.get("name") or entry.get("email")
-    if not isinstance(entry, str):
-        return None
-    name = regex.split(r"\s*<|\s+[—–]\s|\s+-\s|\s*\(", entry.strip(), maxsplit=1)[0].strip()
-    return name or None
+    return _name(entry) if isinstance(entry, str) else None
+
+
+@lru_cache(maxsize=100_000)
+def _name(entry: str) -> str | None:
+    return _AFTER_NAME.split(entry.strip(), maxsplit=1)[0].strip() or None
+
+
+@lru_cache(maxsize=100_000)
+def _forms(name: str) -> frozenset[str]:
+    """The ways a label may name this person."""
+    w = folded(name).replace(",", " ").split()
+    if not w:
+        return frozenset()
+    forms = {" ".join(w)}
+    if len(w) > 1:
+        first, last = w[0], w[-1]
+        forms |= {f"{last}, {' '.join(w[:-1])}", f"{last} {first}", f"{last}, {first}", f"{first} {last}", f"{first[0]}. {last}", f"{first[0]} {last}", f"{last}, {first[0]}.", f"{first} {last[0]}.", f"{first} {last[0]}", first, last, "".join(x[0] for x in w), ".".join(x[0] for x in w) + ".", first[0] + last[0]}
+    return frozenset(forms)
 
 
 class Cast:
@@ -76,28 +94,24 @@ class Cast:
 
     def __init__(self, names: list[str]):
         self.keys: dict[str, str | None] = {}
+        self.labels: dict[str, str | None] = {}
         for name in dict.fromkeys(names):
-            w = folded(name).replace(",", " ").split()
-            if not w:
-                continue
-            forms = {" ".join(w)}
-            if len(w) > 1:
-                first, last = w[0], w[-1]
-                forms |= {f"{last}, {' '.join(w[:-1])}", f"{last} {first}", f"{last}, {first}", f"{first} {last}", f"{first[0]}. {last}", f"{first[0]} {last}", f"{last}, {first[0]}.", f"{first} {last[0]}.", f"{first} {last[0]}", first, last, "".join(x[0] for x in w), ".".join(x[0] for x in w) + ".", first[0] + last[0]}
-            for f in forms:
+            for f in _forms(name):
                 self.keys[f] = name if self.keys.get(f, name) == name else None
 
     def person(self, label: str) -> str | None:
-        return self.keys.get(folded(label).strip(" .")) or self.keys.get(folded(label))
+        if label not in self.labels:
+            self.labels[label] = self.keys.get(folded(label).strip(" .")) or self.keys.get(folded(label))
+        return self.labels[label]
 
 
 def _is_sound(note: str) -> bool:
     """Sound notes are tags, or written in small letters, or made of sound words in any case; bracketed names and figures are speech."""
-    return note[0] == "<" or not regex.search(r"\p{Lu}", note) or SOUNDS.issuperset(regex.findall(r"\p{L}+", note.lower()))
+    return note[0] == "<" or not _CAPITAL.search(note) or SOUNDS.issuperset(_LETTERS.findall(note.lower()))
 
 
 def _no_notes(text: str) -> str:
-    return NOTE.sub(lambda m: " " if _is_sound(m[0]) else m[0], text)
+    return NOTE.sub(lambda m: " " if _is_sound(m[0]) else m[0], text) if _NOTE_OPENS.search(text) else text
 
 
 def is_noise(text: str) -> bool:
@@ -167,8 +181,8 @@ def _utterances(transcript: str, cast: Cast, tied: dict[int, str]) -> list[tuple
         if m is not None:
             found = _label(m, cast, tied)
             if found is not None:
-                parts = m.groupdict()
-                at = _seconds(parts["stamp"]) if parts.get("stamp") else at if pending else None
+                stamp = m["stamp"] if head in "*[(" and "stamp" in m.re.groupindex else None
+                at = _seconds(stamp) if stamp else at if pending else None
                 out.append((at, found, m["text"]))
                 pending, who = False, None
                 continue
@@ -224,16 +238,16 @@ def turns(transcript: str | None, names: list[str], with_text: bool = True) -> l
     return [(n, s, " ".join(filter(None, t)) if with_text else None) for n, s, t in out]
 
 
-_REGION = re.compile(r"^[ \t]*\[(ATTENDEES|SUMMARY|NOTES|TRANSCRIPT)\][ \t]*\r?$", re.I | re.M)
+_REGION = re.compile(r"\[(ATTENDEES|SUMMARY|NOTES|TRANSCRIPT)\][ \t]*\r?$", re.I | re.M)
 
 
 def regions(body: str) -> dict[str, str]:
     """The tagged regions of a source body; of a repeated region the parts are joined."""
-    marks = list(_REGION.finditer(body))
+    marks = [(m, start) for m in _REGION.finditer(body) if not body[(start := body.rfind("\n", 0, m.start()) + 1) : m.start()].strip(" \t")]
     out: dict[str, str] = {}
-    for m, after in zip(marks, [*marks[1:], None]):
+    for (m, _), (_, end) in zip(marks, [*marks[1:], (None, len(body))]):
         k = m[1].upper()
-        part = body[m.end() : after.start() if after else len(body)].strip("\r\n")
+        part = body[m.end() : end].strip("\r\n")
         out[k] = f"{out[k]}\n{part}" if k in out else part
     return out
 

@@ -1,5 +1,7 @@
 import random
+import re
 
+from kithgraph.llm import transcripts
 from kithgraph.llm.arrivals import RADIUS, History, append_batch, first_arrivals, groups_of, levels, pivot_table, pivots_of, repeats, spoken_words
 from kithgraph.session import written
 
@@ -147,6 +149,34 @@ def test_bags_and_keys_are_stored_once(spark, monkeypatch):
     assert _pairs(repeats(spark.createDataFrame([(*x, int(x[0] > 3)) for x in rows], SCHEMA + ", batch_id int"))) == want
     assert stored and not [x for x in stored if {"binary", "array<bigint>"} & {kind for _, kind in x}]
 
+
+def test_each_lot_spreads_its_ids_and_leads_once(spark, monkeypatch):
+    """Every table written, by the stored columns of arrivals its plan reads: one reads the ids, one the leads, of each of two lots."""
+    from kithgraph.llm import arrivals
+
+    read = []
+
+    def noted(df, label, *p):
+        leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+        read.append(" ".join(leaves.apply(i).output().mkString(" ") for i in range(leaves.size())))
+        return written(df, label, *p)
+
+    monkeypatch.setattr(arrivals, "written", noted)
+    rows, want = _rows(7)
+    assert _pairs(repeats(spark.createDataFrame([(*x, int(x[0] > 3)) for x in rows], SCHEMA + ", batch_id int"))) == want
+    assert [sum(f"{c}#" in x for x in read) for c in ("ext", "leads")] == [2, 2]
+
+
+def test_words_in_plain_and_other_script():
+    r = random.Random(8)
+    bits = ["word", "Uh", "mm-hmm", "it's", "a_b", "12:30", "3.5", "[laughter]", "[Ann]", "(crosstalk (door))", "<c>", "*sighs*", "\u266a", "{x", "\x1c", "\x0b", "\xa0", "\u00c9t\u00e9", "\u0130", "\u00b2", "\u5b57"]
+    for n in range(300):
+        text = " ".join(r.choice(bits[: 16 if n % 2 else None]) for _ in range(12))
+        want = [w for w in re.findall(r"[^\W_]+", transcripts.NOTE.sub(lambda m: " " if transcripts._is_sound(m[0]) else m[0], text.strip()).lower()) if not transcripts.HESITATION.fullmatch(w)]
+        assert spoken_words("[TRANSCRIPT]\n" + text, None) == want
+    assert transcripts.regions(" \t[Notes] \r\na\n\n\t[TRANSCRIPT]\nb [NOTES]\n[NOTES] x\n[NOTES]\nc") == {"NOTES": "a\nc", "TRANSCRIPT": "b [NOTES]\n[NOTES] x"}
+
+
 def test_writes_leave_no_shuffle_files(spark):
     import time
 
