@@ -71,12 +71,12 @@ def name_of(entry) -> str | None:
     return _name(entry) if isinstance(entry, str) else None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _name(entry: str) -> str | None:
     return _AFTER_NAME.split(entry.strip(), maxsplit=1)[0].strip() or None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=5_000)
 def _forms(name: str) -> frozenset[str]:
     """The ways a label may name this person."""
     w = folded(name).replace(",", " ").split()
